@@ -36,3 +36,24 @@ def shared(df: DataFrame) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
+
+
+def running_starts(lengths: Column, block: int = 256) -> Column:
+    """For an array of lengths, where each part starts: array<bigint>.
+
+    Sums go block by block, so the arrays that grow while they are built stay short.
+    """
+    longs = "array<bigint>"
+
+    def starts(part: Column, base: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(base.cast("long").alias("at"), F.array().cast(longs).alias("out")),
+            lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"],
+        )
+
+    n_blocks = F.greatest(F.ceil(F.size(lengths) / block), F.lit(1)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(lengths, b * block + 1, F.lit(block)).cast(longs))
+    bases = starts(F.transform(blocks, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+    return F.flatten(F.zip_with(blocks, bases, starts))

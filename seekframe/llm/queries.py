@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, piece_codec, simhash, toxicity
+from . import license_scan, packing, piece_codec, simhash, substring_dedup, syncmers, toxicity
 from .common import documents
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,14 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated passages gone, and what was removed: start:end in code points, comma-joined."""
+    done = substring_dedup.remove(documents(spark, sf_dir).select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return done.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), spans.alias("spans"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).drop("spans")
 
@@ -39,6 +47,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op5_piece_codec, op7_license_scan, op9_simhash)}
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = syncmers.compare_edited(documents(spark, sf_dir))
+    return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.as_text(F.col("sketch")).alias("fingerprint"), syncmers.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op5_piece_codec, op6_substring_dedup, op7_license_scan, op9_simhash, op10_syncmers)}
 
 ORACLE_SQL: dict[str, str] = {}
