@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, piece_codec, simhash, substring_dedup, syncmers, toxicity
+from . import license_scan, packing, pii, piece_codec, simhash, substring_dedup, syncmers, toxicity
 from .common import documents
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(n, pii.BASE_KINDS), F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
 
@@ -52,6 +58,6 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.as_text(F.col("sketch")).alias("fingerprint"), syncmers.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op5_piece_codec, op6_substring_dedup, op7_license_scan, op9_simhash, op10_syncmers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_pii, op5_piece_codec, op6_substring_dedup, op7_license_scan, op9_simhash, op10_syncmers)}
 
 ORACLE_SQL: dict[str, str] = {}
