@@ -22,15 +22,17 @@ def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Write to the folder that all executors share and go on from there.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests on
-    one machine) a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests on one machine) a temporary one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seekframe-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seekframe-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from there; its lineage ends with the files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
