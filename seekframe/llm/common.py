@@ -59,3 +59,12 @@ def running_starts(lengths: Column, block: int = 256) -> Column:
     blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda b: F.slice(lengths, b * block + 1, F.lit(block)).cast(longs))
     bases = starts(F.transform(blocks, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
     return F.flatten(F.zip_with(blocks, bases, starts))
+
+
+#: Every ASCII byte that isn't a digit or a-z, as a space.
+_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Maximal runs of digits, of a-z after lower-casing A-Z, and of anything that isn't ASCII, in a UTF-8 text."""
+    return text.lower().translate(_WORDS).split()

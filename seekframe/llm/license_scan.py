@@ -25,7 +25,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import narrow
+from .common import narrow, words_of
 
 # Phrases and the labels they stand for.
 PHRASES = {
@@ -51,13 +51,6 @@ TEMPLATES = {
     "public-domain": "this work has been released into the public domain by its author",
 }
 MIN_MATCH, MAX_GAP, MIN_COVER = 4, 8, 0.6
-#: ASCII that ends a word, as spaces; lower() on bytes changes A-Z only.
-_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Maximal runs of digits, a-z after lower-casing A-Z, and anything that isn't ASCII."""
-    return text.lower().translate(_WORDS).split()
 
 
 class Automaton:

@@ -19,6 +19,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,31 +34,56 @@ from .common import narrow
 
 END_ID = 1
 BUCKET = 16_384
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 500_000
+#: Letters whose lower case may depend on more than themselves, or that normalisation may change.
+_SIGNS = frozenset(".,;:!?)]}")
+_BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 
 class WordTokens:
-    """Ids as little-endian 32-bit bytes, word by word: this tokenizer never joins across a space or line end."""
+    """Ids as little-endian 32-bit bytes, word by word: this tokenizer never joins across a space or line end, and drops case."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.between = "<|startoftext|>"
+        self.between_id = self.tokenizer.token_to_id(self.between)
         self.cache: dict[str, bytes] = {"": b""}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
     def encode(self, text: str) -> bytes:
+        if not _BEYOND.search(text):
+            text = text.lower()  # as the tokenizer does; fewer distinct words to keep
         words, cache = text.replace("\n", " ").split(" "), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        if len(cache) > CACHE_LIMIT:
-            cache.clear()
-            cache[""] = b""
-        new = list({w for w in words if w not in cache})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+        new = list(set(words).difference(cache))
+        if new:
+            if len(cache) > CACHE_LIMIT:
+                cache.clear()
+                cache[""] = b""
+                new = [w for w in set(words) if w]
+            # A letter and the last sign after it are never in one token, so most words with a sign need no search.
+            signed = [w for w in new if w[-1] in _SIGNS and w[-2:-1].isalpha()]
+            if signed:
+                plain = set(new).difference(signed)
+                plain.update([w[:-1] for w in signed])
+                plain.update([w[-1] for w in signed])
+                new = list(plain.difference(cache))
+            plain = [w for w in new if self.between not in w]
+            for w in new if len(plain) < len(new) else ():
+                cache[w] = self._ids(w).tobytes()
+            # All new words go to the tokenizer in one text, kept apart by a token that none of them has.
+            ids = self._ids(self.between.join(plain)) if plain else np.empty(0, "<u4")
+            ends = [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)] if plain else []
+            raw, at = ids.tobytes(), 0
+            for w, e in zip(plain, ends, strict=True):
+                cache[w] = raw[4 * at : 4 * e]
+                at = e + 1
+            for w in signed:
+                cache[w] = cache[w[:-1]] + cache[w[-1]]
         return b"".join([cache[w] for w in words])
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, packing, pii, piece_codec, simhash, substring_dedup, syncmers, toxicity
+from . import license_scan, lm_scoring, packing, pii, piece_codec, simhash, substring_dedup, syncmers, topk_search, toxicity
 from .common import documents
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +32,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, pii.BASE_KINDS), F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lm_scoring.score(docs, lm_scoring.train(docs))
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
 
@@ -48,6 +53,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir)).drop("spans")
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50, as a whole, against all documents: its ten best."""
+    docs = documents(spark, sf_dir)
+    return topk_search.search(docs, docs.where("doc_id % 50 = 0"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(documents(spark, sf_dir))
     return found.select("doc_id", simhash.fp_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -58,6 +69,6 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.as_text(F.col("sketch")).alias("fingerprint"), syncmers.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_pii, op5_piece_codec, op6_substring_dedup, op7_license_scan, op9_simhash, op10_syncmers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_pii, op4_lm_scoring, op5_piece_codec, op6_substring_dedup, op7_license_scan, op8_topk_search, op9_simhash, op10_syncmers)}
 
 ORACLE_SQL: dict[str, str] = {}
