@@ -126,19 +126,17 @@ def fit(counts: np.ndarray, classes: int = CLASSES, hidden: int = HIDDEN, rounds
         "out": rng.normal(0, 0.1, (hidden, classes)), "base": np.log((counts.sum(axis=0) + 1) / (counts.sum() + classes)),
     }
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    used = counts.sum(axis=1) > 0
-    target = counts[used] / max(counts.sum(), 1.0)
-    weight, l, r = target.sum(axis=1, keepdims=True), left[used], right[used]
-    for step in range(1, rounds + 1 if used.any() else 1):
-        h = np.tanh(p["left"][l] + p["right"][r] + p["bias"])
+    target = counts / max(counts.sum(), 1.0)
+    weight = target.sum(axis=1, keepdims=True)
+    for step in range(1, rounds + 1 if counts.any() else 1):
+        h = np.tanh(p["left"][left] + p["right"][right] + p["bias"])
         z = h @ p["out"] + p["base"]
         z -= z.max(axis=1, keepdims=True)
         e = np.exp(z)
         d = e / e.sum(axis=1, keepdims=True) * weight - target
         back = (d @ p["out"].T) * (1 - h * h)
-        g = {"out": h.T @ d, "base": d.sum(axis=0), "bias": back.sum(axis=0), "left": np.zeros_like(p["left"]), "right": np.zeros_like(p["right"])}
-        np.add.at(g["left"], l, back)
-        np.add.at(g["right"], r, back)
+        by_pair = back.reshape(classes, classes, hidden)
+        g = {"out": h.T @ d, "base": d.sum(axis=0), "bias": back.sum(axis=0), "left": by_pair.sum(axis=1), "right": by_pair.sum(axis=0)}
         for k in p:
             first[k] = 0.9 * first[k] + 0.1 * g[k]
             second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
