@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from .common import narrow
 
 MARK = "▁"
-CACHE_LIMIT = 300_000
+CACHE_LIMIT = 400_000
+SHORT, _NEVER = 32, float("inf")
 
 
 class PieceEncoder:
@@ -44,45 +45,71 @@ class PieceEncoder:
         ids = range(sp.get_piece_size())
         self.bytes_of = [sp.piece_to_id(f"<0x{i:02X}>") for i in range(256)]
         self.id_of = {sp.id_to_piece(i): i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
-        self.score_of = {p: sp.get_score(i) for p, i in self.id_of.items()}
+        #: The lower, the earlier a piece is merged.
+        self.cost_of = {p: -sp.get_score(i) for p, i in self.id_of.items()}
         joined = [p for p in self.id_of if len(p) > 1]
         marked = any(MARK in p.lstrip(MARK) for p in joined)
         ends = not any("\n" in p for p in joined)
         line = "\n" if ends else ""
         self.cut = None if marked else re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if ends else ""))
+        # Two halves: when the newer is full it becomes the older, and what is asked for again moves back.
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.cache_limit = cache_limit
-        self.fresh: list[str] = []
-
-    def merge(self, chunk: str) -> list[int]:
-        """The ids of a chunk by the agenda of adjacent pairs."""
+        self.fresh: dict[str, tuple[int, ...]] = {}
+        #: Neighbouring characters of any piece: between others no merge is possible.
+        self.joined = {p[i : i + 2] for p in joined for i in range(len(p) - 1)}
+
+    def _merged_short(self, chunk: str) -> list[str]:
+        """The agenda as a list by position: for few symbols, finding its best entry is faster than keeping it in order."""
+        symbols, cost = list(chunk), self.cost_of.get
+        agenda = [cost(chunk[i : i + 2], _NEVER) for i in range(len(chunk) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == _NEVER:
+                break
+            i = agenda.index(best)
+            symbols[i] += symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(symbols[i] + symbols[i + 1], _NEVER)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + symbols[i], _NEVER)
+        return symbols
+
+    def _merged_long(self, chunk: str) -> list[str]:
+        """The agenda as a heap."""
         symbols = list(chunk)
         n = len(symbols)
-        score = self.score_of
+        cost = self.cost_of
         agenda = []
         for i in range(n - 1):
-            s = score.get(p := symbols[i] + symbols[i + 1])
-            if s is not None:
-                agenda.append((-s, i, i + 1, p))
-        if agenda:
-            heapq.heapify(agenda)
-            before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-            while agenda:
-                _, i, j, p = heapq.heappop(agenda)
-                if not symbols[i] or after[i] != j or not symbols[j] or len(symbols[i]) + len(symbols[j]) != len(p):
-                    continue
-                symbols[i], symbols[j] = p, ""
-                after[i] = k = after[j]
-                if k < n:
-                    before[k] = i
-                    s = score.get(q := p + symbols[k])
-                    if s is not None:
-                        heapq.heappush(agenda, (-s, i, k, q))
-                h = before[i]
-                if h >= 0:
-                    s = score.get(q := symbols[h] + p)
-                    if s is not None:
-                        heapq.heappush(agenda, (-s, h, i, q))
+            c = cost.get(p := symbols[i] + symbols[i + 1])
+            if c is not None:
+                agenda.append((c, i, i + 1, p))
+        heapq.heapify(agenda)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        while agenda:
+            _, i, j, p = heapq.heappop(agenda)
+            if not symbols[i] or after[i] != j or not symbols[j] or len(symbols[i]) + len(symbols[j]) != len(p):
+                continue
+            symbols[i], symbols[j] = p, ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                c = cost.get(q := p + symbols[k])
+                if c is not None:
+                    heapq.heappush(agenda, (c, i, k, q))
+            h = before[i]
+            if h >= 0:
+                c = cost.get(q := symbols[h] + p)
+                if c is not None:
+                    heapq.heappush(agenda, (c, h, i, q))
+        return symbols
+
+    def merge(self, chunk: str) -> list[int]:
+        """The ids of a chunk by the agenda of adjacent pairs."""
+        symbols = self._merged_short(chunk) if len(chunk) <= SHORT else self._merged_long(chunk)
         out: list[int] = []
         for x in symbols:
             if x:
@@ -101,31 +128,37 @@ class PieceEncoder:
 
     def ids_of_chunk(self, chunk: str) -> tuple[int, ...]:
         ids = self.cache.get(chunk)
+        if ids is None and (ids := self.older.get(chunk)) is not None:
+            self.cache[chunk] = ids
         if ids is None:
-            if len(self.cache) >= self.cache_limit:
+            if len(self.cache) >= self.cache_limit // 2:
                 self.check()
-                self.cache.clear()
-            ids = tuple(self.merge(chunk))
+                self.cache, self.older = {}, self.cache
+            if len(chunk) > 2 and chunk[-2:] not in self.joined:
+                # A last sign that joins with nothing before it: both parts are encoded, and kept, on their own.
+                ids = self.ids_of_chunk(chunk[:-1]) + self.ids_of_chunk(chunk[-1])
+            else:
+                ids = tuple(self.merge(chunk))
             if len(chunk) <= 64:
                 self.cache[chunk] = ids
-            self.fresh.append(chunk)
+            self.fresh[chunk] = ids
             if len(self.fresh) >= 20_000:
                 self.check()
         return ids
 
     def encode(self, text: str) -> list[int]:
-        get, out = self.cache.get, []
+        out: list[int] = []
         for c in self.chunks(text):
-            out += get(c) or self.ids_of_chunk(c)
+            out += self.cache.get(c) or self.ids_of_chunk(c)
         return out
 
     def check(self) -> None:
         """Holds the chunks encoded since the last call against the library, which marks a text's start itself."""
-        marked = [c for c in self.fresh if c[0] == MARK]
+        marked = [c for c in self.fresh if c[0] == MARK and len(c) > 1]
         for c, ids in zip(marked, self.library.encode([c[1:].replace(MARK, " ") for c in marked], num_threads=1), strict=True):
-            if len(c) > 1 and ids != (own := self.merge(c)):
-                raise ValueError(f"the library has {ids} for {c!r}, not {own}")
-        self.fresh = []
+            if tuple(ids) != self.fresh[c]:
+                raise ValueError(f"the library has {ids} for {c!r}, not {self.fresh[c]}")
+        self.fresh = {}
 
 
 @lru_cache(maxsize=4)
