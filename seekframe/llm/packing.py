@@ -34,12 +34,23 @@ from .common import narrow
 
 END_ID = 1
 BUCKET = 16_384
-CACHE_LIMIT = 500_000
+#: Words kept by a worker, and the longest that is kept.
+CACHE_LIMIT, LONGEST = 1_000_000, 64
 #: Letters whose lower case may depend on more than themselves, or that normalisation may change.
 _SIGNS = frozenset(".,;:!?)]}")
 _BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 
+class _Known(dict):
+    """Ids by word; a word that isn't known yet gives None and is noted."""
+
+    missed: list[str]
+
+    def __missing__(self, word: str) -> None:
+        self.missed.append(word)
+        return None
+
+
 class WordTokens:
     """Ids as little-endian 32-bit bytes, word by word: this tokenizer never joins across a space or line end, and drops case."""
 
@@ -50,41 +61,49 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.between = "<|startoftext|>"
         self.between_id = self.tokenizer.token_to_id(self.between)
-        self.cache: dict[str, bytes] = {"": b""}
+        self.known = _Known({"": b""})
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def encode(self, text: str) -> bytes:
-        if not _BEYOND.search(text):
-            text = text.lower()  # as the tokenizer does; fewer distinct words to keep
-        words, cache = text.replace("\n", " ").split(" "), self.cache
-        new = list(set(words).difference(cache))
-        if new:
-            if len(cache) > CACHE_LIMIT:
-                cache.clear()
-                cache[""] = b""
-                new = [w for w in set(words) if w]
-            # A letter and the last sign after it are never in one token, so most words with a sign need no search.
-            signed = [w for w in new if w[-1] in _SIGNS and w[-2:-1].isalpha()]
-            if signed:
-                plain = set(new).difference(signed)
-                plain.update([w[:-1] for w in signed])
-                plain.update([w[-1] for w in signed])
-                new = list(plain.difference(cache))
-            plain = [w for w in new if self.between not in w]
-            for w in new if len(plain) < len(new) else ():
-                cache[w] = self._ids(w).tobytes()
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
+        # A letter and the last sign after it are never in one token, so most words with a sign need no search.
+        signed = [w for w in new if w[-1] in _SIGNS and w[-2:-1].isalpha()]
+        if signed:
+            new.difference_update(signed)
+            new.update([w[:-1] for w in signed])
+            new.update([w[-1] for w in signed])
+            new.difference_update([w for w in new if w in known])
+        plain = [w for w in new if self.between not in w]
+        for w in new.difference(plain):
+            known[w] = self._ids(w).tobytes()
+        if plain:
             # All new words go to the tokenizer in one text, kept apart by a token that none of them has.
-            ids = self._ids(self.between.join(plain)) if plain else np.empty(0, "<u4")
-            ends = [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)] if plain else []
+            ids = self._ids(self.between.join(plain))
             raw, at = ids.tobytes(), 0
-            for w, e in zip(plain, ends, strict=True):
-                cache[w] = raw[4 * at : 4 * e]
+            for w, e in zip(plain, [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)], strict=True):
+                known[w] = raw[4 * at : 4 * e]
                 at = e + 1
-            for w in signed:
-                cache[w] = cache[w[:-1]] + cache[w[-1]]
-        return b"".join([cache[w] for w in words])
+        for w in signed:
+            known[w] = known[w[:-1]] + known[w[-1]]
+
+    def encode(self, text: str) -> bytes:
+        if not _BEYOND.search(text):
+            text = text.lower()  # as the tokenizer does; fewer distinct words to keep
+        known = self.known
+        if len(known) > CACHE_LIMIT:
+            known = self.known = _Known({"": b""})
+        known.missed = []
+        words = text.replace("\n", " ").split(" ")
+        parts = [known[w] for w in words]
+        if known.missed:
+            new = set(known.missed)
+            self._learn(new)
+            parts = [known[w] if p is None else p for p, w in zip(parts, words)]
+            for w in [w for w in (*new, *known.missed) if len(w) > LONGEST]:
+                known.pop(w, None)
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=2)
