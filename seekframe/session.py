@@ -36,3 +36,11 @@ def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         return query(spark, *args)
 
     return run
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Write df to the folder that all executors share (spark.checkpoint.dir; a temporary one where that is unset, as in tests) and go on from there."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seekframe-"))
+    return df.checkpoint()
