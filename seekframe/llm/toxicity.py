@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ from .common import narrow
 
 BUCKETS, DIM, WINDOW = 1 << 16, 8, 4
 NGRAMS = (3, 4, 5)
-TRAIN_DOCS = 2000
+TRAIN_DOCS = 1500
 #: Windows of a text that a run of REFRESH steps looks at.
 ACTIVE, REFRESH = 4, 12
 CACHE_LIMIT = 300_000
@@ -93,31 +94,34 @@ def score_text(text: str, bias: float, words: WordScores) -> float:
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 240, warm: int = 15, rate: float = 1.0, decay: float = 0.0003, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], rounds: int = 240, rate: float = 1.0, decay: float = 0.0003, seed: int = 7) -> Model:
     """Joint training of n-gram vectors and softmax; full batches, fixed seed."""
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), -math.inf)
     vocabulary: dict[str, int] = {}
-    tokens, starts, window_doc, sizes, at = [], [], [], [], 0
+    tokens, starts, sizes, window_doc = array("i"), array("i"), array("i"), array("i")
     for d, t in enumerate(texts):
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(t.lower())]
-        if not ids:
-            continue
-        s = window_starts(len(ids))
-        tokens.extend(ids)
-        starts.extend((s + at).tolist())
-        sizes.extend(np.maximum(np.minimum(WINDOW, len(ids) - s), WINDOW // 2).tolist())
-        window_doc.extend([d] * len(s))
-        at += len(ids)
+        if ids:
+            s = window_starts(len(ids))
+            starts.extend((s + len(tokens)).tolist())
+            sizes.extend(np.maximum(np.minimum(WINDOW, len(ids) - s), WINDOW // 2).tolist())
+            window_doc.extend([d] * len(s))
+            tokens.extend(ids)
     if not tokens:
         return Model(np.zeros(BUCKETS), -math.inf)
-    tokens_, starts_, sizes_, doc_of = np.array(tokens), np.array(starts), np.array(sizes, dtype=np.float64), np.array(window_doc)
-    grams = [ngram_ids(w) for w in vocabulary]
-    n_grams = np.array([len(g) for g in grams], dtype=np.float64)
-    gram = np.concatenate([np.array(g) for g in grams])
-    gram_starts = np.concatenate(([0], np.cumsum(n_grams)[:-1])).astype(np.int64)
-    window_of_token = np.repeat(np.arange(len(starts_)), np.diff(np.concatenate((starts_, [len(tokens_)]))))
+    flat, counts = array("i"), array("i")
+    for w in vocabulary:
+        g = ngram_ids(w)
+        flat.extend(g)
+        counts.append(len(g))
+    tokens_, starts_, doc_of = (np.frombuffer(x, dtype=np.int32) for x in (tokens, starts, window_doc))
+    sizes_ = np.frombuffer(sizes, dtype=np.int32).astype(np.float64)
+    gram, n_grams_int = np.frombuffer(flat, dtype=np.int32), np.frombuffer(counts, dtype=np.int32)
+    n_grams = n_grams_int.astype(np.float64)
+    gram_starts = np.concatenate(([0], np.cumsum(n_grams_int)[:-1]))
+    window_of_token = np.repeat(np.arange(len(starts_), dtype=np.int32), np.diff(np.concatenate((starts_, [len(tokens_)]))))
     class_weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
 
     rng = np.random.default_rng(seed)
@@ -134,7 +138,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 240, warm: int = 15,
 
     def step(delta: np.ndarray, token: np.ndarray, window_of: np.ndarray, size: np.ndarray, rate: float) -> None:
         by_word = np.bincount(token, weights=(delta / size)[window_of], minlength=len(vocabulary)) / n_grams
-        by_gram = np.bincount(gram, weights=np.repeat(by_word, n_grams.astype(np.int64)), minlength=BUCKETS)
+        by_gram = np.bincount(gram, weights=np.repeat(by_word, n_grams_int), minlength=BUCKETS)
         grad_s = by_gram @ vectors
         grads = (by_gram[:, None] * (softmax[1] - softmax[0]), np.stack([-grad_s, grad_s]), np.array([-delta.sum(), delta.sum()]))
         # A step is as long as `rate` for the largest entry of each parameter; frequent n-grams move further than rare ones.
@@ -146,7 +150,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 240, warm: int = 15,
     def error(z: np.ndarray, docs: np.ndarray) -> np.ndarray:
         return (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[docs]) * class_weight[docs]
 
-    for _ in range(warm):
+    # Few texts need more of these steps to tell which windows decide.
+    for _ in range(min(max(30_000 // len(texts), 15), 150)):
         z = forward(tokens_, starts_, sizes_)
         step(error(z, doc_of) / per_doc_windows[doc_of], tokens_, window_of_token, sizes_, rate)
     for left in range(rounds, 0, -REFRESH):
