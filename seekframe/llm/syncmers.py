@@ -105,8 +105,9 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document.
     """
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("rh", F.xxhash64("text")).withColumn("n_chars", F.char_length("text"))
-    order, repeated = previous(rows.select("doc_id", "rh", "n_chars"))
+    rows = rows.withColumn("rh", F.xxhash64("text"))
+    order, repeated = previous(rows.select("doc_id", "rh", F.char_length("text").alias("n_chars")))
+    # Both joins below read the same columns of this by the same key, so texts and sketches are shuffled by id once.
     own = with_sketch(rows, "text", "sketch")
     same = lambda a, b, x, y: a.eqNullSafe(b) & (x == y)
     o = order.toDF("oid", "oh", "pid", "ph", "pn")
@@ -115,6 +116,7 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if repeated:
         sent = sent.dropDuplicates(["pid", "ph"])
     both = own.join(sent, same(F.col("doc_id"), F.col("pid"), F.col("rh"), F.col("ph")))
+    both = both.withColumn("n_chars", F.char_length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - half), F.col("head")))
     both = with_sketch(both, "edited", "edited_sketch")
