@@ -246,7 +246,7 @@ def test_registered_query_gives_its_whole_table(spark, sf, name):
 def test_pipeline_stages(spark, table, tmp_path):
     rows, labels = labelled(240)
     shared_passage = " ".join(prose(7000 + i, 12).replace(".", "").capitalize() + "." for i in range(6))
-    rows = [(i, t) for i, t in rows] + [(500, rows[1][1]), (501, "Lead in words here. " + shared_passage), (502, "Other lead in text. " + shared_passage), (503, "mail me at someone@example.com please"), (504, ""), (505, None)]
+    rows = [(i, t) for i, t in rows] + [(500, rows[1][1]), (501, "Amber quiet lantern. " + shared_passage), (502, "Cedar meadow copper. " + shared_passage), (503, "mail me at someone@example.com please"), (504, ""), (505, None)]
     folder = str(tmp_path / "sf")
     docs = table(rows).select(*corpus_pipeline.COLUMNS)
     docs.write.parquet(f"{folder}/documents.parquet")
@@ -261,7 +261,7 @@ def test_pipeline_stages(spark, table, tmp_path):
     clean = {i for i, _ in rows if i >= 500 or i % 4}
     assert len(seen["toxicity"].keys() & clean) >= 0.97 * len(clean) and sum(i not in seen["toxicity"] for i in range(0, 240, 4)) >= 55
     assert 500 not in seen["near_dedup"] and 1 in seen["near_dedup"] and 502 in seen["near_dedup"]
-    assert seen["substring_dedup"][501].count("Lead") == 1 and len(seen["substring_dedup"][502]) < 40
+    assert shared_passage in seen["substring_dedup"][501] and len(seen["substring_dedup"][502]) < 40
     assert seen["pii"][503] == "mail me at [EMAIL] please" and seen["pii"].keys() == seen["near_dedup"].keys()
     whole = {(r.doc_id, r.start, r.length) for r in corpus_pipeline.run(spark, folder).collect()}
     assert whole == {(r.doc_id, r.start, r.length) for r in corpus_pipeline.STAGES[-1][1](spark, kept, folder).collect()}
