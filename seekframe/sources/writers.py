@@ -57,3 +57,9 @@ def fbin_header(vectors: DataFrame) -> bytes:
 def read_fbin(content: bytes) -> np.ndarray:
     n, d = struct.unpack("<ii", content[:8])
     return np.frombuffer(content, dtype="<f4", offset=8).reshape(n, d)
+
+
+def write_ground_truth(truth: DataFrame, path: str) -> DataFrame:
+    """Writes (qid, rank, doc_id) of exact hits; gives the manifest of what was written."""
+    truth.select("qid", "rank", "doc_id").write.mode("overwrite").parquet(path)
+    return manifest(truth.sparkSession, path)

@@ -43,3 +43,21 @@ def test_writers(spark, tmp_path):
     (tmp_path / "m" / "f").write_bytes(b"abc")
     r = writers.manifest(spark, str(tmp_path / "m")).first()
     assert (r.bytes, r.sha256) == (3, hashlib.sha256(b"abc").hexdigest())
+
+
+def test_embedding_takes_up_where_it_stopped(spark, tmp_path):
+    from seekframe.sources.embedding import embed_resumable
+
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 7 else None) for i in range(25)], "doc_id long, text string")
+    encode = lambda texts: np.array([[len(t), 1.0, 2.0] for t in texts])
+    path = str(tmp_path / "e")
+    embed_resumable(docs.where("doc_id < 12"), encode, 3, path, chunk=10)
+    marked = lambda texts: np.array([[0.0, 0.0, 1.0] for _ in texts])
+    got = {r.doc_id: list(r.vector) for r in embed_resumable(docs, marked, 3, path, chunk=10).collect()}
+    assert len(got) == 25
+    assert all(got[i][1] > 0 for i in range(10)) and all(got[i] == [0.0, 0.0, 1.0] for i in range(10, 25))
+
+
+def test_ground_truth(spark, tmp_path):
+    t = spark.createDataFrame([(1, 1, 5, 0.5)], "qid long, rank int, doc_id long, score double")
+    assert writers.write_ground_truth(t, str(tmp_path / "t")).count() >= 1
