@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from seekframe.operators import dense, fusion, ivf, quantize, rerank, sparse
 from seekframe.plans import pipeline
@@ -179,4 +178,3 @@ def test_exact_cache_searches_a_text_once(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     found = lists(pipeline.Pipeline({"name": "c", "sparse": {"b": 0.75}, "cache": {"exact": True}}, passages=docs).search(q))
     assert found[1] == found[2] and 3 not in found
-    assert F is not None
