@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pytest
@@ -125,4 +124,3 @@ def test_license_table(table, odd_rows):
     texts = dict(odd_rows)
     assert len(got) == len(odd_rows) and all(r.n_words == len(words(texts[r.doc_id] or "")) for r in got)
     assert license_scan.scan(table(odd_rows).where("false")).count() == 0
-    assert hashlib
