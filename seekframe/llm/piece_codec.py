@@ -25,6 +25,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import sentencepiece
@@ -33,7 +34,8 @@ from pyspark.sql import DataFrame
 from .common import narrow
 
 MARK = "▁"
-CACHE_LIMIT = 400_000
+#: Chunks kept by a worker, and the longest that is kept.
+CACHE_LIMIT, LONGEST = 800_000, 64
 SHORT, _NEVER = 32, float("inf")
 
 
@@ -52,9 +54,7 @@ class PieceEncoder:
         ends = not any("\n" in p for p in joined)
         line = "\n" if ends else ""
         self.cut = None if marked else re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if ends else ""))
-        # Two halves: when the newer is full it becomes the older, and what is asked for again moves back.
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.cache_limit = cache_limit
         self.fresh: dict[str, tuple[int, ...]] = {}
         #: Neighbouring characters of any piece: between others no merge is possible.
@@ -126,31 +126,29 @@ class PieceEncoder:
         line = MARK + text.replace(" ", MARK)
         return self.cut.findall(line) if self.cut else [line]
 
-    def ids_of_chunk(self, chunk: str) -> tuple[int, ...]:
-        ids = self.cache.get(chunk)
-        if ids is None and (ids := self.older.get(chunk)) is not None:
-            self.cache[chunk] = ids
+    def _ids_of_chunk(self, chunk: str) -> tuple[int, ...]:
+        ids = self.known.get(chunk)
         if ids is None:
-            if len(self.cache) >= self.cache_limit // 2:
-                self.check()
-                self.cache, self.older = {}, self.cache
             if len(chunk) > 2 and chunk[-2:] not in self.joined:
                 # A last sign that joins with nothing before it: both parts are encoded, and kept, on their own.
-                ids = self.ids_of_chunk(chunk[:-1]) + self.ids_of_chunk(chunk[-1])
+                ids = self._ids_of_chunk(chunk[:-1]) + self._ids_of_chunk(chunk[-1])
             else:
                 ids = tuple(self.merge(chunk))
-            if len(chunk) <= 64:
-                self.cache[chunk] = ids
+            if len(chunk) <= LONGEST:
+                self.known[chunk] = ids
             self.fresh[chunk] = ids
-            if len(self.fresh) >= 20_000:
-                self.check()
         return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for c in self.chunks(text):
-            out += self.cache.get(c) or self.ids_of_chunk(c)
-        return out
+        if len(self.fresh) >= 20_000:
+            self.check()
+        if len(self.known) > self.cache_limit:
+            self.known.clear()
+        chunks = self.chunks(text)
+        parts = [self.known.get(c) for c in chunks]
+        if None in parts:
+            parts = [self._ids_of_chunk(c) if p is None else p for p, c in zip(parts, chunks)]
+        return list(chain.from_iterable(parts))
 
     def check(self) -> None:
         """Holds the chunks encoded since the last call against the library, which marks a text's start itself."""
@@ -172,12 +170,13 @@ def digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model_file)
+        text_of = [str(i) for i in range(enc.library.get_piece_size())]
         for b in batches:
             n, a, d = [], [], []
             for t in b.column(1):
                 ids = enc.encode(t.as_py())
                 n.append(len(ids))
-                a.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                a.append(hashlib.sha256(",".join([text_of[i] for i in ids]).encode()).hexdigest())
                 d.append(hashlib.sha256(enc.library.decode(ids).encode()).hexdigest())
             enc.check()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
