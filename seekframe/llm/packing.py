@@ -35,7 +35,7 @@ from .common import narrow
 END_ID = 1
 BUCKET = 16_384
 #: Words kept by a worker, and the longest that is kept.
-CACHE_LIMIT, LONGEST = 1_000_000, 64
+CACHE_LIMIT, LONGEST = 1_400_000, 64
 #: Letters whose lower case may depend on more than themselves, or that normalisation may change.
 _SIGNS = frozenset(".,;:!?)]}")
 _BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
@@ -89,7 +89,7 @@ class WordTokens:
             known[w] = known[w[:-1]] + known[w[-1]]
 
     def encode(self, text: str) -> bytes:
-        if not _BEYOND.search(text):
+        if text.isascii() or not _BEYOND.search(text):
             text = text.lower()  # as the tokenizer does; fewer distinct words to keep
         known = self.known
         if len(known) > CACHE_LIMIT:
@@ -139,14 +139,18 @@ def pack_sizes(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int
     """
     if len(tokens) and (tokens.max() > limits[0] or loss.max() > limits[2] or limits[1] < 1):
         raise ValueError("a piece is larger than a sequence")
-    kinds, kind_of = np.unique(np.stack([tokens, loss], axis=1), axis=0, return_inverse=True)
-    order = np.argsort(kind_of.ravel(), kind="stable")
+    sequence, offset = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
+    # Whole sequences first; the search is for the others.
+    whole = np.flatnonzero(tokens == limits[0])
+    sequence[whole], offset[whole] = np.arange(len(whole)), 0
+    rest = np.flatnonzero(tokens < limits[0])
+    kinds, kind_of = np.unique(np.stack([tokens[rest], loss[rest]], axis=1), axis=0, return_inverse=True)
+    order = rest[np.argsort(kind_of.ravel(), kind="stable")]
     count = np.bincount(kind_of.ravel(), minlength=len(kinds))
     at = np.concatenate(([0], np.cumsum(count)[:-1]))
     t, w = kinds[:, 0].copy(), kinds[:, 1].copy()
     share_t, share_w = t / limits[0], w / limits[2]
-    sequence, offset = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
-    left, bin_no = len(tokens), 0
+    left, bin_no = len(rest), len(whole)
     while left:
         free_t, free_s, free_w, used = limits[0], limits[1], limits[2], 0
         while left and free_s:
