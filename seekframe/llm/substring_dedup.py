@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_starts, text_or_empty
+from .common import running_starts, shared, text_or_empty
 
 MIN_WORDS = 8
 #: Zero-width places before a unit.
@@ -73,7 +73,8 @@ def repeats(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
     """(doc_id, rh, runs): the runs of repeated units of each distinct document that has any."""
     all_units = units(df, id_col, text_col)
     place = F.struct("doc_id", "rh", "at")
-    first = all_units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
+    # Written out, so that the join below shuffles two sides of its own and Spark can split a hot digest's partition.
+    first = shared(all_units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first"))
     later = all_units.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     later = later.groupBy("doc_id", "rh").agg(F.sort_array(F.collect_set(F.struct("at", "words"))).alias("listed"))
     return later.select("doc_id", "rh", _runs(F.col("listed"), min_words).alias("runs")).where(F.size("runs") > 0)
