@@ -48,10 +48,10 @@ BASE_PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must have for the pattern to match at all; spares most texts the search.
-NEEDS = {"email": r"@[A-Za-z0-9]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
+NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 # (generator, kind, needs, pattern, value): value is the pattern of the wanted end of a match, or None for all of it.
 GENERATORS = (
-    ("named", "secret", r"(?i)(?:token|passw|pwd|secret|key|auth)", r"""(?i)(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{4,128}""", r"""[^\s"',;=:]+$"""),
+    ("named", "secret", r"(?i)(?:token|passw|pwd|secret|key|auth)", r"""(?i)(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth)["']?\s{0,3}[=:]\s{0,3}["']?[^\s"',;]{4,}+""", r"""(?<![^\s"',;=:])[^\s"',;=:]++$"""),
     ("opaque", "secret", r"[A-Za-z0-9_+/=-]{16}", r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+", None),
     ("digits", "id", r"[0-9][ ./-][0-9]", r"(?<![0-9A-Za-z.+/-])(?:\([0-9]{2,4}\) ?)?[0-9]{2,4}(?:[ ./-][0-9]{2,6}){1,5}(?![0-9A-Za-z])", None),
     ("spelled", "contact", r"(?i)[\[(]\s?at\s?[\])]", r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{2,64}+\s?[\[(]\s?at\s?[\])]\s?[a-z0-9.-]{2,64}+(?:\s?[\[(]\s?dot\s?[\])]\s?[a-z]{2,10})?", None),

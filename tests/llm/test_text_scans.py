@@ -58,6 +58,14 @@ def test_the_method_adds_secrets_and_leaves_words_alone(spark):
     assert all(got[i] > 0 for i in range(len(yes))) and all(got[len(yes) + i] == 0 for i in range(len(no)))
 
 
+def test_long_secrets_are_redacted_to_their_end(spark):
+    secret = "a!9$kQ%2" * 25
+    df = spark.createDataFrame([(1, f"so password={secret} it"), (2, "write a@-b.c now")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(df).select("doc_id", pii.spans_text(F.col("base")).alias("b"), pii.spans_text(F.col("spans")).alias("s")).collect()}
+    assert got[1].s == f"secret:12:{12 + len(secret)}" and got[2].b == "email:6:12"
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[1] == "so password=[SECRET] it"
+
+
 def test_trees_in_the_plan_equal_trees_in_numpy(spark):
     import numpy as np
 
