@@ -16,7 +16,8 @@ found on (id, length) rows, range-partitioned; only the part of a text that is n
 goes to its neighbour.
 
 Cases. Null text counts as empty. A text of fewer than five words has one anchor, all
-its words; one without words has none, and two such fingerprints have likeness 1. Rows
+its words; a longer one without a syncmer has its k-mer of the smallest hash; one without
+words has none, and two such fingerprints have likeness 1. Rows
 that repeat an id are ordered by a hash of their text; rows that repeat both count as one
 in the order and each give a row. Null ids come first. A table of one text has itself as
 the next. An empty table gives an empty result.
@@ -59,8 +60,13 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
         lambda x: x["at"].isNotNull() & x["hash"].isNotNull(),
     )
     whole = F.array(F.struct(F.lit(0).alias("at"), F.hash(F.array_join(F.transform(word, lambda x: x.cast("string")), " ")).bitwiseAND(F.lit(0x7FFFFFFF)).alias("hash")))
-    rows = rows.withColumn(out, F.when(long_enough, chosen).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<struct<at:int,hash:int>>")))
-    return rows.drop(w, s, m, e, h)
+    c = f"__{out}_chosen"
+    rows = rows.withColumn(c, chosen)
+    # Few k-mers may have no syncmer among them: the one with the smallest hash stands for them.
+    each = F.filter(F.transform(F.col(h), lambda x, i: F.struct(x.alias("hash"), i.alias("at"))), lambda x: x["hash"].isNotNull())
+    least = F.transform(F.array(F.array_min(each)), lambda x: F.struct(x["at"].alias("at"), x["hash"].alias("hash")))
+    rows = rows.withColumn(out, F.when(long_enough & (F.size(c) > 0), F.col(c)).when(long_enough, least).when(F.size(w) > 0, whole).otherwise(F.array().cast("array<struct<at:int,hash:int>>")))
+    return rows.drop(w, s, m, e, h, c)
 
 
 def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH) -> DataFrame:

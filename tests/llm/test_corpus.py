@@ -161,6 +161,15 @@ def test_anchors_are_closed_syncmers_and_context_free(spark):
     assert [at for at, _ in got[1]] == [i for i in range(len(words) - 4) if min(pairs[i : i + 4]) in (pairs[i], pairs[i + 3])]
 
 
+def test_short_texts_have_an_anchor(spark):
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(5 + i % 3)) for i in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [[(x.at, x.hash) for x in row.anchors] for row in syncmers.anchors(df).collect()]
+    assert all(a and all(0 <= at <= 2 for at, _ in a) for a in got) and len({tuple(a) for a in got}) == 90
+    assert all(row.near_next == 0.0 for row in syncmers.compare_edited(df).collect())
+
+
 # ---- language model ----
 
 
