@@ -43,7 +43,7 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its repeated passages gone, and what was removed: start:end in code points, comma-joined."""
-    done = substring_dedup.remove(documents(spark, sf_dir).select("doc_id", "text"))
+    done = substring_dedup.remove(documents(spark, sf_dir).select("doc_id", "text"), whole_lines=True)
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return done.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), spans.alias("spans"))

@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from .common import running_starts, shared, text_or_empty
 
 MIN_WORDS = 8
-#: Zero-width places before a unit.
+WORD_CHARS = 10
+UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Zero-width places before a line and before a unit.
+LINE_START = r"(?<=\n)"
 UNIT_START = r"(?<=\n)|(?<=[.!?]\s)(?=\S)|(?<=[ \t])(?=\p{Lu})"
 
 
@@ -48,12 +51,31 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).withColumn("rh", F.xxhash64("text"))
 
 
+def _words(unit: Column) -> Column:
+    spaced = F.length(unit) - F.length(F.translate(unit, " ", "")) + 1
+    unspaced = F.when(F.octet_length(unit) > F.length(unit), F.length(F.regexp_replace(unit, UNSPACED, ""))).otherwise(0)
+    return F.greatest(spaced, F.floor(unspaced / 2).cast("int"), F.floor(F.length(unit) / WORD_CHARS).cast("int"))
+
+
 def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rh, at, words, h1, h2): the units that aren't blank; `at` counts them."""
+    """(doc_id, rh, at, words, upto, h1, h2): the units that aren't blank, counted by `at`; and lines of several units, with 0 words.
+
+    `upto` is the last unit of what is a whole line, else -1.
+    """
     rows = _keyed(df, id_col, text_col)
-    rows = rows.select("doc_id", "rh", F.posexplode(F.transform(F.filter(_units(F.col("text")), _some), _normal)).alias("at", "unit"))
-    words = F.length("unit") - F.length(F.translate("unit", " ", "")) + 1
-    return rows.select("doc_id", "rh", "at", words.alias("words"), F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), F.col("unit")).alias("h2"))
+    lines = F.transform(F.filter(F.split("text", LINE_START, -1), _some), lambda t: F.transform(F.filter(_units(t), _some), _normal))
+    rows = rows.select("doc_id", "rh", lines.alias("lines"))
+    rows = rows.withColumn("starts", running_starts(F.transform("lines", lambda x: F.size(x))))
+    row = lambda at, upto, whole, unit: F.struct(at.cast("int").alias("at"), upto.cast("int").alias("upto"), whole.alias("whole"), unit.alias("unit"))
+
+    def of_line(x: Column, i: Column) -> Column:
+        start, n = F.get("starts", i), F.size(x)
+        own = F.transform(x, lambda u, j: row(start + j, F.when(n == 1, start).otherwise(-1), F.lit(False), u))
+        return F.when(n > 1, F.concat(F.array(row(start, start + n - 1, F.lit(True), F.array_join(x, " "))), own)).otherwise(own)
+
+    rows = rows.select("doc_id", "rh", F.explode(F.flatten(F.transform("lines", of_line))).alias("x")).select("doc_id", "rh", "x.*")
+    words = F.when(F.col("whole"), 0).otherwise(_words(F.col("unit")))
+    return rows.select("doc_id", "rh", "at", words.alias("words"), "upto", F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), F.col("unit")).alias("h2"))
 
 
 def _runs(listed: Column, min_words: int) -> Column:
@@ -69,20 +91,39 @@ def _runs(listed: Column, min_words: int) -> Column:
     )
 
 
-def repeats(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rh, runs): the runs of repeated units of each distinct document that has any."""
+def _merged(spans: Column) -> Column:
+    """Sorted spans (first, last) of units, those that overlap or touch as one."""
+    state = lambda out, first, last: F.struct(out.alias("out"), first.alias("first"), last.alias("last"))
+    flush = lambda a: F.when(a["first"] >= 0, F.concat(a["out"], F.array(F.struct(a["first"].alias("first"), a["last"].alias("last"))))).otherwise(a["out"])
+    return F.aggregate(
+        F.sort_array(spans),
+        state(F.array().cast("array<struct<first:int,last:int>>"), F.lit(-2), F.lit(-2)),
+        lambda a, x: F.when(x["first"] <= a["last"] + 1, state(a["out"], a["first"], F.greatest(a["last"], x["last"]))).otherwise(state(flush(a), x["first"], x["last"])),
+        flush,
+    )
+
+
+def repeats(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", whole_lines: bool = False) -> DataFrame:
+    """(doc_id, rh, runs): the runs of units of each distinct document that go, if any."""
     all_units = units(df, id_col, text_col)
+    if not whole_lines:
+        all_units = all_units.where("words > 0").withColumn("upto", F.lit(-1))
     place = F.struct("doc_id", "rh", "at")
     # Written out, so that the join below shuffles two sides of its own and Spark can split a hot digest's partition.
-    first = shared(all_units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first"))
+    first = all_units.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min(F.when(F.col("upto") >= 0, place)).alias("first_line"))
+    first = shared(first.where("n > 1").select("h1", "h2", "first", "first_line"))
     later = all_units.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    later = later.groupBy("doc_id", "rh").agg(F.sort_array(F.collect_set(F.struct("at", "words"))).alias("listed"))
-    return later.select("doc_id", "rh", _runs(F.col("listed"), min_words).alias("runs")).where(F.size("runs") > 0)
+    # What was only a part of lines so far isn't a repeated line.
+    later = later.withColumn("upto", F.when(place.eqNullSafe(F.col("first_line")), -1).otherwise(F.col("upto"))).where("words > 0 or upto >= 0")
+    later = later.groupBy("doc_id", "rh").agg(F.sort_array(F.collect_set(F.struct("at", "words", "upto"))).alias("listed"))
+    lines = F.transform(F.filter("listed", lambda x: x["upto"] >= 0), lambda x: F.struct(x["at"].alias("first"), x["upto"].alias("last")))
+    runs = _runs(F.filter("listed", lambda x: x["words"] > 0), min_words)
+    return later.select("doc_id", "rh", _merged(F.concat(runs, lines)).alias("runs")).where(F.size("runs") > 0)
 
 
-def remove(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = "removed") -> DataFrame:
+def remove(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = "removed", whole_lines: bool = False) -> DataFrame:
     """df with its repeated passages gone from text_col, and their original (start, end) in spans_col (None: not kept)."""
-    found = repeats(df, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("rh").alias("__rh"), F.col("runs").alias("__runs"))
+    found = repeats(df, min_words, id_col, text_col, whole_lines).select(F.col("doc_id").alias("__id"), F.col("rh").alias("__rh"), F.col("runs").alias("__runs"))
     text = F.col("__text")
     rows = df.withColumn("__text", text_or_empty(text_col)).withColumn("__h", F.xxhash64("__text"))
     rows = rows.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__rh")), "left")

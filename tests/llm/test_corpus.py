@@ -127,6 +127,20 @@ def test_substring_dedup_of_odd_rows(table, odd_rows):
     assert substring_dedup.remove(table(odd_rows).where("false")).count() == 0
 
 
+def test_short_lines_and_lines_without_spaces_go(table):
+    menu, chinese, inline = "Home | About us\n", "这是一个没有空格的重复段落\n", "河边的石头安静地等待着早晨的银色光芒和远方的铜铃"
+    own = lambda i: f"quite own words number{i} here\n"
+    rows = [(i, own(i) + menu + own(100 + i) + chinese + own(200 + i) + f"start{i} here. " + "The end. " + f"Last{i} {i}.\n" + f"x{i}y Ab. " + f"A {inline} {i}z.") for i in range(4)]
+    got = {r.doc_id: r for r in substring_dedup.remove(table(rows), spans_col="gone", whole_lines=True).collect()}
+    assert got[0].text == rows[0][1]
+    for i, t in rows[1:]:
+        assert got[i].text == t.replace(menu, "").replace(chinese, ""), i
+        assert [t[s.start : s.end] for s in got[i].gone] == [menu, chinese]
+    rows = [(i, f"x{i}y words. A. {inline}\nq{i}") for i in range(3)] + [(i, f"x{i}y words. A. {inline}. B{i}\nq{i}") for i in range(3, 6)]
+    got = {r.doc_id: r.text for r in substring_dedup.remove(table(rows), whole_lines=True).collect()}
+    assert [inline in got[i] for i in range(6)] == [True, False, False, True, False, False]
+
+
 # ---- syncmers ----
 
 
