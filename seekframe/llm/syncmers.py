@@ -7,13 +7,13 @@ not on its surroundings: the same passage has the same anchors in any document,
 stands around it, and at least one in any four consecutive k-mers' span on average two.
 
 `anchors` gives them with their word positions for positional matching. A fingerprint
-keeps the `SKETCH` smallest distinct anchor hashes, sorted: all of them for texts up to
-some 250 words; for longer ones their likeness estimates that of the full sets with a
-standard error of at most 0.5 / sqrt(SKETCH), about 0.044.
+holds all distinct anchor hashes of a text, sorted, and likeness is the Jaccard similarity
+of two whole fingerprints.
 
 Scale. Everything is an array expression within the row. The next document of each is
 found on (id, length) rows, range-partitioned; only the part of a text that is needed
-goes to its neighbour.
+and the fingerprint go to its neighbour. A document's own fingerprint isn't shuffled but
+made from the text on both sides.
 
 Cases. Null text counts as empty. A text of fewer than five words has one anchor, all
 its words; a longer one without a syncmer has its k-mer of the smallest hash; one without
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from .common import is_empty, shared, text_or_empty
 
 K, INNER = 5, 2
-SKETCH = 128
 
 
 def _pairs(a: Column, shift: int, f) -> Column:
@@ -69,16 +68,16 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     return rows.drop(w, s, m, e, h, c)
 
 
-def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH) -> DataFrame:
+def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the fingerprint of column `text` as a sorted array<int>."""
     rows = with_anchors(df, text, f"__{out}_anchors")
-    return rows.withColumn(out, F.slice(F.sort_array(F.array_distinct(F.col(f"__{out}_anchors")["hash"])), 1, size)).drop(f"__{out}_anchors")
+    return rows.withColumn(out, F.sort_array(F.array_distinct(F.col(f"__{out}_anchors")["hash"]))).drop(f"__{out}_anchors")
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Share of common anchors among the smallest of both; 1 for two empty fingerprints."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.greatest(F.size(both), F.lit(1)))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two fingerprints; 1 for two empty ones."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(common / F.greatest(F.size(a) + F.size(b) - common, F.lit(1)))
 
 
 def as_text(sketch: Column) -> Column:
@@ -113,16 +112,15 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("rh", F.xxhash64("text"))
     order, repeated = previous(rows.select("doc_id", "rh", F.char_length("text").alias("n_chars")))
-    # Both joins below read the same columns of this by the same key, so texts and sketches are shuffled by id once.
-    own = with_sketch(rows, "text", "sketch")
+    # Both joins below read the same columns of this by the same key, so texts are shuffled by id once.
     same = lambda a, b, x, y: a.eqNullSafe(b) & (x == y)
     o = order.toDF("oid", "oh", "pid", "ph", "pn")
-    sent = own.join(o, same(F.col("doc_id"), F.col("oid"), F.col("rh"), F.col("oh")))
-    sent = sent.select("pid", "ph", F.substring(F.col("text"), F.lit(1), F.floor(F.col("pn") / 2).cast("int")).alias("head"), F.col("sketch").alias("next_sketch"))
+    sent = rows.join(o, same(F.col("doc_id"), F.col("oid"), F.col("rh"), F.col("oh")))
+    sent = with_sketch(sent, "text", "sketch").select("pid", "ph", F.substring(F.col("text"), F.lit(1), F.floor(F.col("pn") / 2).cast("int")).alias("head"), F.col("sketch").alias("next_sketch"))
     if repeated:
         sent = sent.dropDuplicates(["pid", "ph"])
-    both = own.join(sent, same(F.col("doc_id"), F.col("pid"), F.col("rh"), F.col("ph")))
-    both = both.withColumn("n_chars", F.char_length("text"))
+    both = rows.join(sent, same(F.col("doc_id"), F.col("pid"), F.col("rh"), F.col("ph")))
+    both = with_sketch(both, "text", "sketch").withColumn("n_chars", F.char_length("text"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - half), F.col("head")))
     both = with_sketch(both, "edited", "edited_sketch")

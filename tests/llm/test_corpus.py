@@ -184,6 +184,16 @@ def test_short_texts_have_an_anchor(spark):
     assert all(row.near_next == 0.0 for row in syncmers.compare_edited(df).collect())
 
 
+def test_fingerprints_hold_all_anchors(spark):
+    words = [f"w{random.Random(4).randrange(10**6) + i}" for i in range(4000)]
+    other = words[:2000] + [f"z{i}" for i in range(50)] + words[2050:]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    a, b = ({x.hash for x in r.anchors} for r in syncmers.anchors(df).orderBy("doc_id").collect())
+    got = {r.doc_id: r for r in syncmers.compare_edited(df).collect()}
+    assert got[1].sketch == sorted(a) and got[2].sketch == sorted(b) and len(a) > 1500
+    assert got[1].near_next == got[2].near_next == pytest.approx(len(a & b) / len(a | b)) and got[1].near_next < 1
+
+
 # ---- language model ----
 
 
