@@ -43,11 +43,13 @@ TRAIN_DOCS = 1500
 #: Windows of a text that a run of REFRESH steps looks at.
 ACTIVE, REFRESH = 4, 12
 CACHE_LIMIT = 300_000
+#: Runs of more characters than STRETCH (words glued together, scripts without spaces) score as their most toxic stretch.
+STRETCH = 64
 _WORD = re.compile(r"\w+")
 
 
 def ngram_ids(word: str) -> list[int]:
-    w = f"<{word[:64]}>".encode()
+    w = f"<{word}>".encode()
     grams = {w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1)}
     grams.add(w)
     return sorted({zlib.crc32(g) & (BUCKETS - 1) for g in grams})
@@ -70,6 +72,9 @@ class WordScores(dict):
         self.weight = model.weight
 
     def __missing__(self, word: str) -> float:
+        if len(word) > STRETCH:
+            # Not kept. Stretches overlap by half.
+            return max(float(self.weight[ngram_ids(word[i : i + STRETCH])].mean()) for i in range(0, len(word) - STRETCH // 2, STRETCH // 2))
         if len(self) > CACHE_LIMIT:
             self.clear()
         ids = ngram_ids(word)

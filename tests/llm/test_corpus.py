@@ -60,6 +60,15 @@ def test_toxicity_without_labels(spark, table):
     assert [r.p for r in toxicity.score(table([(1, "a b"), (2, None)]), model, out="p").collect()] == [0.0, 0.0]
 
 
+def test_toxic_word_late_in_a_long_run():
+    rows, labels = labelled(80)
+    model = toxicity.fit([t for _, t in rows], [y for *_, y in labels], rounds=60)
+    clean = "_".join(["river", "stone", "meadow", "copper"] * 20)
+    words = model.word_scores()
+    assert words[clean + "_hatefulness_" + clean] > words[clean + "_" + clean]
+    assert toxicity.ngram_ids("a" * 70 + "b" * 9) != toxicity.ngram_ids("a" * 70 + "c" * 9)
+
+
 # ---- substring dedup ----
 
 
