@@ -8,8 +8,10 @@ never the trace. Questions without a size limit need no replay and are window fu
 
 from __future__ import annotations
 
+import heapq
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -167,18 +169,63 @@ def neighbours(centroids: DataFrame, k: int = 2) -> DataFrame:
     return near.select(F.col("p").alias("partition_id"), F.col("partition_id").alias("related"), "score", "place")
 
 
+def history_targets(probes: DataFrame, k: int = 2, block: int = 100_000) -> DataFrame:
+    """(request, target): for each probed partition of a request the k others most often probed together with it up to then, this request included; ties go to the smaller.
+
+    Requests (numbers, in the order of their coming) are dealt into blocks of `block`, so a
+    partition that most requests probe is no single task's: what came before a block is
+    summed first, and the block starts from these sums.
+    """
+    p = probes.select("request", "partition_id").distinct()
+    kind = p.schema["request"].dataType.simpleString()
+    both = p.groupBy("request").agg(F.sort_array(F.collect_set("partition_id")).alias("all")).withColumn("block", F.floor(F.col("request") / block).cast("long"))
+    each = both.select("request", "block", F.explode("all").alias("a"), "all")
+    pairs = each.select("block", "a", F.explode("all").alias("b")).where("a <> b").groupBy("block", "a", "b").agg(F.count("*").alias("n"))
+    so_far = pairs.withColumn("n", F.sum("n").over(Window.partitionBy("a", "b").orderBy("block")))
+    # A block in which the partition is probed starts from the sums at the end of the last such block before it.
+    blocks = each.select("a", "block").distinct()
+    blocks = blocks.withColumn("before", F.lag("block").over(Window.partitionBy("a").orderBy("block"))).where("before is not null")
+    ends = Window.partitionBy("a", "b").orderBy("block")
+    spans = so_far.withColumn("until", F.lead("block").over(ends))
+    starts = blocks.alias("x").join(spans.alias("s"), (F.col("x.a") == F.col("s.a")) & (F.col("s.block") <= F.col("x.before")) & (F.col("s.until").isNull() | (F.col("s.until") > F.col("x.before"))))
+    starts = starts.groupBy("x.a", "x.block").agg(F.collect_list(F.struct("s.b", "s.n")).alias("l")).select(F.lit(None).cast(kind).alias("request"), "a", "block", F.col("l.b").cast("array<int>").alias("others"), F.col("l.n").alias("counts"))
+    asked = each.select("request", "a", "block", F.array_except("all", F.array("a")).cast("array<int>").alias("others"), F.lit(None).cast("array<bigint>").alias("counts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts = None, {}
+        for b in batches:
+            requests, targets = [], []
+            for request, a, block_no, others, known in zip(*(c.to_pylist() for c in b.columns)):
+                if (a, block_no) != now:
+                    now, counts = (a, block_no), {}
+                if known is not None:
+                    counts.update(zip(others, known))
+                    continue
+                for o in others:
+                    counts[o] = counts.get(o, 0) + 1
+                for t in heapq.nsmallest(k, counts.items(), key=lambda x: (-x[1], x[0])):
+                    requests.append(request)
+                    targets.append(t[0])
+            yield pa.RecordBatch.from_arrays([pa.array(requests, b.schema.field(0).type), pa.array(targets, pa.int32())], names=["request", "target"])
+
+    rows = asked.unionByName(starts).repartition("a", "block").sortWithinPartitions("a", "block", F.col("request").asc_nulls_first())
+    return rows.select("request", "a", "block", "others", "counts").mapInArrow(run, f"request {kind}, target int").distinct()
+
+
 def prefetch_targets(probes: DataFrame, centroids: DataFrame, strategy: str = "both", k: int = 2) -> DataFrame:
     """(request, target): partitions to load ahead for each request, without those that it probes itself.
 
-    neighbour: the nearest centroids of each probed one; history: those most often probed together; both; none.
+    neighbour: the nearest centroids of each probed one; history: those most often probed together so far; both; none.
     """
+    if strategy not in ("neighbour", "history", "both", "none"):
+        raise ValueError(f"no such strategy: {strategy}")
+    own = probes.select("request", F.col("partition_id").cast("int").alias("target")).distinct()
     parts = []
     if strategy in ("neighbour", "both"):
-        parts.append(neighbours(centroids, k).select("partition_id", "related"))
+        near = neighbours(centroids, k).select("partition_id", F.col("related").cast("int").alias("target"))
+        parts.append(probes.join(near, "partition_id").select("request", "target"))
     if strategy in ("history", "both"):
-        parts.append(co_accessed(probes, k).select("partition_id", "related"))
+        parts.append(history_targets(probes, k))
     if not parts:
-        return probes.select("request", F.col("partition_id").alias("target")).where(F.lit(False))
-    related = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    wanted = probes.join(related, "partition_id").select("request", F.col("related").alias("target")).distinct()
-    return wanted.join(probes.select("request", F.col("partition_id").alias("target")), ["request", "target"], "left_anti")
+        return own.where(F.lit(False))
+    return reduce(DataFrame.unionByName, parts).distinct().join(own, ["request", "target"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared
+
 # The usual exponents of skewed workloads.
 ZIPF = (0.8, 1.0, 1.2)
 
@@ -30,34 +33,43 @@ def uniform(spark: SparkSession, n: int, pool: int, seed: int = 42) -> DataFrame
     return spark.range(n).select(F.col("id").alias("seq"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(pool)).cast("int").alias("qidx"))
 
 
+def _hex_draw(*keys: Column) -> Column:
+    """The first 13 hex digits of an MD5, a number under 2**52, over 2**52: any part of a workload can be drawn again alone."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *keys)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def zipf(spark: SparkSession, n: int, pool: int, s: float, seed: int = 42) -> DataFrame:
-    """(seq, qidx): n requests; query weights fall with a shuffled rank. Drawn by hash, so any part can be drawn again alone."""
+    """(seq, qidx): n requests; query weights fall with a shuffled rank. Ranks and draws go by hash; the pool's weights are one array of `pool` numbers."""
     weights = np.arange(1, pool + 1, dtype=np.float64) ** -_positive(s)
     until = np.cumsum(weights / weights.sum())[:-1]
-    order = np.random.default_rng(seed).permutation(pool).astype(np.int32)
+    order = np.array(sorted(range(pool), key=lambda q: (hashlib.md5(f"{seed}:{q}".encode()).hexdigest(), q)), dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(order[np.searchsorted(until, b.column(1).to_numpy(), side="right")])], names=["seq", "qidx"])
 
-    draw = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return spark.range(n).select("id", draw.alias("u")).mapInArrow(run, "seq long, qidx int")
+    return spark.range(n).select("id", _hex_draw(F.lit(seed + 1), F.col("id")).alias("u")).mapInArrow(run, "seq long, qidx int")
 
 
 def contiguous(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
-    """df with 0, 1, 2, ... in the given order, numbered range by range: no task sees more than its range."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    parts = parts.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("__part", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
-    return parts.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at") - 1).drop("__part", "__at", "__before")
+    """df with 0, 1, 2, ... in the given order, numbered range by range: no task sees more than its range.
+
+    The ranges are written out once. Planned twice, they would be cut at other places for the rows
+    than for their sizes.
+    """
+    place = F.monotonically_increasing_id()  # the partition's number, then 33 bits for the place in it
+    rows = shared(df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.struct("*").alias("row"), place.alias("place")))
+    rows = rows.select("row", F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    before = sizes.select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "part").select("row.*", (F.col("before") + F.col("at")).alias(name))
 
 
 def numbered_queries(queries: DataFrame) -> DataFrame:
     """(qidx, query_id, text): ids by length, then value, numbered from 0."""
-    w = Window.orderBy(F.length("query_id"), "query_id")
-    return queries.withColumn("qidx", F.row_number().over(w) - 1).select("qidx", "query_id", "text")
+    sized = queries.select("query_id", "text", F.length("query_id").alias("id_length"))
+    return contiguous(sized, "id_length", "query_id", name="qidx").select("qidx", "query_id", "text")
 
 
 def remapped_qrels(qrels: DataFrame, queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,13 +80,33 @@ def remapped_qrels(qrels: DataFrame, queries: DataFrame, docs: DataFrame) -> tup
     return kept, known.agg(F.count_if(F.col("qidx").isNull() | F.col("idx").isNull()).alias("dropped"))
 
 
+def _hash_limit(hashes: DataFrame, n: int, digits: int = 3, levels: int = 2) -> tuple[str, int]:
+    """(prefix, m) for a column h of hex digits: the n smallest are all below the prefix, and the m smallest that begin with it.
+
+    One histogram of 16**digits prefixes for each level; what begins with the last prefix is one in 16**(digits * levels).
+    """
+    prefix = ""
+    for level in range(levels):
+        begin = F.substring("h", 1, digits * (level + 1))
+        counts = hashes.where(F.col("h").startswith(prefix)).groupBy(begin.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
+        for r in counts:
+            if r.n > n or r is counts[-1]:
+                prefix = r.p
+                break
+            n -= r.n
+    return prefix, n
+
+
 def subset(corpus: DataFrame, required: DataFrame, size: int, seed: int = 42, key: str = "doc_id") -> DataFrame:
     """All required documents and others by a seeded hash up to `size`, numbered by key as sub_idx. Size of the corpus or more: all of it."""
     needed = required.select(key).distinct()
     n = needed.count()
     if n > size:
         raise ValueError(f"{n} documents are required, more than {size}")
-    others = corpus.join(needed, key, "left_anti").withColumn("__h", F.xxhash64(key, F.lit(seed))).orderBy("__h", key).limit(size - n).drop("__h")
+    others = corpus.join(needed, key, "left_anti").withColumn("h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))))
+    prefix, m = _hash_limit(others.select("h"), size - n)
+    last = others.where(F.col("h").startswith(prefix)).orderBy("h", key).limit(m)
+    others = others.where(F.col("h") < prefix).unionByName(last).drop("h")
     return contiguous(corpus.join(needed, key, "left_semi").unionByName(others), key, name="sub_idx")
 
 

@@ -359,18 +359,41 @@ def r14_exact_cache_unbounded(spark: SparkSession, d: str) -> DataFrame:
     return out.select("worker", "hits", "misses", F.round("hit_rate", 6).alias("hit_rate"))
 
 
-@query()
+@query(f"""WITH {_EVENTS}, u AS (SELECT worker, seq, props, max(seq) OVER (PARTITION BY worker, props ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM tr),
+others AS (SELECT u.worker, u.seq, count(*) AS n FROM u JOIN u o ON o.worker = u.worker AND o.seq > u.was AND o.seq < u.seq AND (o.was IS NULL OR o.was <= u.was) GROUP BY 1, 2),
+h AS (SELECT worker, was IS NOT NULL AND coalesce(n, 0) < 40 AS hit FROM u LEFT JOIN others USING (worker, seq))
+SELECT worker, sum(hit::INT)::BIGINT AS hits, sum(1 - hit::INT)::BIGINT AS misses, avg(hit::INT) AS hit_rate FROM h GROUP BY 1""")
 def t1_exact_cache_replay(spark: SparkSession, d: str) -> DataFrame:
     return caches.hit_rate(caches.replay_exact(_trace(spark, d).withColumn("text", F.col("props")), size=40), "worker")
 
 
-@query()
+_STEPS_OF = "r AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY seq) AS step FROM tr)"
+
+
+@query(f"""WITH RECURSIVE {_KNN}, {_EVENTS}, {_STEPS_OF},
+near AS MATERIALIZED (SELECT x.doc_id AS user_id, list(y.doc_id) AS ids FROM e x JOIN e y ON list_dot_product(x.v::FLOAT[], y.v::FLOAT[]) >= 0.95 GROUP BY 1),
+w AS MATERIALIZED (SELECT worker, step, user_id, ids FROM r LEFT JOIN near USING (user_id)),
+s AS (SELECT DISTINCT worker, 0::BIGINT AS step, 0::BIGINT AS hits, 0::BIGINT AS misses, []::BIGINT[] AS kept FROM r
+  UNION ALL SELECT s.worker, w.step, hits + hit::INT, misses + 1 - hit::INT, CASE WHEN hit OR ids IS NULL THEN kept ELSE list_append(kept, user_id)[-100:] END
+  FROM s JOIN (SELECT * FROM w) w ON w.worker = s.worker AND w.step = s.step + 1, LATERAL (SELECT ids IS NOT NULL AND list_has_any(kept, ids) AS hit) h)
+SELECT worker, hits, misses, hits / (hits + misses)::DOUBLE AS hit_rate FROM s QUALIFY row_number() OVER (PARTITION BY worker ORDER BY step DESC) = 1""")
 def r15_semantic_cache_replay(spark: SparkSession, d: str) -> DataFrame:
     v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("vector"))
     return caches.hit_rate(caches.replay_semantic(_trace(spark, d).join(v, "user_id", "left"), size=100, threshold=0.95), "worker")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS}, {_STEPS_OF},
+sz AS (SELECT user_id % 64 AS p, count(*) * 1000 AS bytes FROM events GROUP BY 1),
+w AS MATERIALIZED (SELECT worker, step, user_id % 64 AS p, bytes FROM r JOIN sz ON sz.p = user_id % 64),
+s AS (SELECT DISTINCT worker, policy, 0::BIGINT AS step, 0::BIGINT AS hits, 0::BIGINT AS evictions, []::STRUCT(a DOUBLE, b BIGINT, p BIGINT, uses BIGINT, last BIGINT, born BIGINT, bytes BIGINT)[] AS kept FROM r, (VALUES ('lru'), ('lfu'), ('cost')) t(policy)
+  UNION ALL SELECT s.worker, policy, w.step, hits + hit::INT, evictions + gone,
+    list_sort(list_transform(list_append(list_filter(ordered, lambda x, i: i > gone AND x.p <> w.p), {{'a': 0::DOUBLE, 'b': 0::BIGINT, 'p': w.p, 'uses': was.uses + 1, 'last': w.step, 'born': was.born, 'bytes': w.bytes}}),
+      lambda x: {{'a': CASE policy WHEN 'lru' THEN x.last WHEN 'lfu' THEN x.uses ELSE x.uses / greatest(x.bytes, 1)::DOUBLE END, 'b': CASE policy WHEN 'cost' THEN x.born WHEN 'lfu' THEN x.last ELSE 0 END, 'p': x.p, 'uses': x.uses, 'last': x.last, 'born': x.born, 'bytes': x.bytes}}))
+  FROM s JOIN (SELECT * FROM w) w ON w.worker = s.worker AND w.step = s.step + 1,
+    LATERAL (SELECT kept AS ordered, coalesce(list_filter(kept, lambda x: x.p = w.p)[1].uses, 0) AS uses, coalesce(list_filter(kept, lambda x: x.p = w.p)[1].born, w.step) AS born) was,
+    LATERAL (SELECT was.uses > 0 AS hit) h,
+    LATERAL (SELECT CASE WHEN hit THEN 0 ELSE coalesce(list_min(list_filter(range(0, len(kept) + 1), lambda i: coalesce(list_sum(list_transform(kept[i + 1:], lambda x: x.bytes)), 0) + w.bytes <= 600000)), len(kept)) END AS gone) g)
+SELECT worker, hits, evictions, policy FROM s QUALIFY row_number() OVER (PARTITION BY worker, policy ORDER BY step DESC) = 1""")
 def r16_partition_cache_replay(spark: SparkSession, d: str) -> DataFrame:
     sizes = _table(spark, d, "events").groupBy(F.pmod("user_id", F.lit(64)).alias("partition_id")).agg((F.count("*") * 1000).alias("bytes"))
     trace = _trace(spark, d).withColumn("partition_id", F.pmod("user_id", F.lit(64))).join(sizes, "partition_id")
@@ -388,13 +411,24 @@ def r18_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return caches.neighbours(_label_centroids(spark, d)).select("partition_id", "related", F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query(f"""WITH {_KNN}, {_CENTROIDS}, {_ROUTES}, p AS (SELECT qid AS request, partition_id AS a FROM routes WHERE place <= 3),
+pairs AS (SELECT x.request, x.a, y.a AS b FROM p x JOIN p y USING (request) WHERE x.a <> y.a),
+so_far AS (SELECT p.request, p.a, b, count(*) AS n FROM p JOIN pairs q ON q.a = p.a AND q.request <= p.request GROUP BY 1, 2, 3),
+hist AS (SELECT request, b AS target FROM so_far QUALIFY row_number() OVER (PARTITION BY request, a ORDER BY n DESC, b) <= 2),
+s AS (SELECT x.partition_id AS a, y.partition_id AS b, list_dot_product(x.cv, y.cv) AS score FROM c x, c y WHERE x.partition_id <> y.partition_id),
+nb AS (SELECT a, b FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) <= 2)
+SELECT request, target FROM (SELECT request, target FROM hist UNION SELECT request, b FROM p JOIN nb USING (a)) ANTI JOIN p ON p.request = request AND p.a = target""".replace("ANTI JOIN p ON p.request = request AND p.a = target", "t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.request = t.request AND p.a = t.target)"))
 def r18_prefetch_targets(spark: SparkSession, d: str) -> DataFrame:
     cents = _label_centroids(spark, d)
     return caches.prefetch_targets(ivf.route(_asked(spark, d), cents, 3).select(F.col("qid").alias("request"), "partition_id"), cents)
 
 
-@query()
+@query("""WITH pool AS (SELECT count(*) AS n FROM benchmark), k AS (SELECT range AS q FROM range(0, (SELECT n FROM pool))),
+o AS (SELECT q AS qidx, row_number() OVER (ORDER BY md5('42:' || q), q) AS r FROM k),
+w AS (SELECT qidx, r, sum(1 / r::DOUBLE) OVER (ORDER BY r) / (SELECT sum(1 / r::DOUBLE) FROM o) AS until, r = (SELECT n FROM pool) AS last FROM o),
+u AS (SELECT ('0x' || substr(md5('43:' || range), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS u FROM range(0, 10000)),
+d AS (SELECT (SELECT min(r) FROM w WHERE u.u < until OR last) AS r FROM u)
+SELECT qidx::INT AS qidx, count(*) AS requests FROM d JOIN w USING (r) GROUP BY 1""")
 def t5_zipf_workload(spark: SparkSession, d: str) -> DataFrame:
     pool = _table(spark, d, "benchmark").count()
     return workload.zipf(spark, 10_000, pool, 1.0).groupBy("qidx").agg(F.count("*").alias("requests"))
@@ -420,7 +454,10 @@ def j10_remapped_qrels(spark: SparkSession, d: str) -> DataFrame:
     return kept.select(F.col("qidx").cast("long").alias("qidx"), "query_id", F.col("idx").alias("doc_id"), F.col("score").cast("int").alias("score"))
 
 
-@query()
+@query("""WITH need AS (SELECT DISTINCT doc_id FROM labels JOIN documents USING (doc_id) WHERE toxic = 1),
+rest AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) AS place FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+kept AS (SELECT doc_id FROM need UNION ALL SELECT doc_id FROM rest WHERE place <= (SELECT count(*) // 2 FROM documents) - (SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1))
+SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS sub_idx FROM kept JOIN documents USING (doc_id)""")
 def u1_subset(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", "lang")
     needed = _table(spark, d, "labels").where("toxic = 1").select("doc_id")

@@ -122,11 +122,54 @@ def test_prefetch(spark):
     probes = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 2), (3, 0), (3, 1)], "request long, partition_id int")
     assert {(r.a, r.b): r.n for r in caches.co_access(probes).collect()} == {(0, 1): 2, (1, 0): 2, (0, 2): 1, (2, 0): 1}
     cents = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0])], "partition_id int, centroid array<double>")
+    # Request 2 sees what came before it and itself, not request 3.
     assert {(r.request, r.target) for r in caches.prefetch_targets(probes, cents, "history", 1).collect()} == {(2, 1)}
+    with pytest.raises(ValueError):
+        caches.prefetch_targets(probes, cents, "oracle")
     assert caches.prefetch_targets(probes, cents, "none").count() == 0
     assert {(r.partition_id, r.related) for r in caches.neighbours(cents, 1).collect()} == {(0, 1), (1, 0), (2, 1)}
 
 
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_history_sees_no_later_request(spark, block):
+    r = random.Random(3)
+    asked = {i * 2: sorted(r.sample(range(9), r.randrange(1, 5))) for i in range(60)}
+    seen, expected = {}, set()
+    for i, parts in asked.items():
+        for a in parts:
+            for b in parts:
+                if a != b:
+                    seen.setdefault(a, {})[b] = seen.get(a, {}).get(b, 0) + 1
+        for a in parts:
+            expected |= {(i, b) for b, _ in sorted(seen.get(a, {}).items(), key=lambda x: (-x[1], x[0]))[:2]}
+    probes = spark.createDataFrame([(i, p) for i, parts in asked.items() for p in parts], "request long, partition_id int").repartition(5)
+    assert {(x.request, x.target) for x in caches.history_targets(probes, 2, block).collect()} == expected
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_are_gapless_at_any_size(spark, adaptive):
+    from pyspark.sql import functions as F
+
+    was = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        n = 420_000
+        rows = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("key"), F.repeat(F.lit("text "), 12).alias("text"), F.lit(1).alias("part"))
+        found = workload.contiguous(rows, "key")
+        r = found.select("idx").agg(F.count("*").alias("n"), F.max("idx").alias("top"), F.countDistinct("idx").alias("d")).first()
+        assert (r.n, r.top, r.d) == (n, n - 1, n) and found.columns == ["key", "text", "part", "idx"]
+        ends = found.where("idx in (0, 1, 419999)").orderBy("idx").select("key")
+        keys = rows.select("key").orderBy("key")
+        assert [x.key for x in ends.collect()][:2] == [x.key for x in keys.limit(2).collect()]
+        part = workload.subset(rows, rows.limit(3).select("key"), 1000, key="key")
+        r = part.agg(F.count("*").alias("n"), F.max("sub_idx").alias("top"), F.countDistinct("key").alias("d")).first()
+        assert (r.n, r.top, r.d) == (1000, 999, 1000)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_workloads(spark):
     w = {r["rank"]: r.weight for r in workload.zipf_weights(spark, 4, 1.0).collect()}
     assert sum(w.values()) == pytest.approx(1) and w[1] / w[4] == pytest.approx(4)
