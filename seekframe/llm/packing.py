@@ -6,13 +6,14 @@ that fit in all three dimensions, the one whose size has the largest dot product
 what is left of the sequence (each over the limit) goes in next.
 
 Texts longer than a sequence are cut; whole sequences of one text need no search. The
-rest of each text is one piece of a bucket of about `BUCKET` texts, dealt by a hash of the id. A
-bucket is packed on its own, so memory and time of a task don't grow with the input,
-and no bucket depends on how Spark has split the rows. Only sizes and checksums are
-shuffled, never ids.
+rest of each text is one piece of a bucket of about `BUCKET` texts, dealt by a hash of the id
+and of the piece. A bucket is packed on its own, so memory and time of a task don't grow
+with the input, and no bucket depends on how Spark has split the rows. Only sizes and
+checksums are shuffled, never ids.
 
 Cases. Null text counts as empty: its only token is the end token. Rows that repeat an
-id each give pieces of their own. A null id is dealt like any other value. An empty
+id each give pieces of their own, and other texts under one id go to other buckets. Rows
+with a null id are dealt by their place in the input, however many they are. An empty
 table gives an empty result.
 """
 
@@ -36,9 +37,11 @@ END_ID = 1
 BUCKET = 16_384
 #: Words kept by a worker, and the longest that is kept.
 CACHE_LIMIT, LONGEST = 1_400_000, 64
-#: Letters whose lower case may depend on more than themselves, or that normalisation may change.
 _SIGNS = frozenset(".,;:!?)]}")
+#: Letters whose lower case may depend on more than themselves or be more than one character, or that normalisation may change.
 _BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: Every special token begins so. Its string counts only as it is written: in capitals it is ordinary text.
+_SPECIAL = "<|"
 
 
 class _Known(dict):
@@ -69,7 +72,7 @@ class WordTokens:
     def _learn(self, new: set[str]) -> None:
         known = self.known
         # A letter and the last sign after it are never in one token, so most words with a sign need no search.
-        signed = [w for w in new if w[-1] in _SIGNS and w[-2:-1].isalpha()]
+        signed = [w for w in new if w[-1] in _SIGNS and w[-2:-1].isalpha() and not _BEYOND.match(w[-2])]
         if signed:
             new.difference_update(signed)
             new.update([w[:-1] for w in signed])
@@ -89,7 +92,7 @@ class WordTokens:
             known[w] = known[w[:-1]] + known[w[-1]]
 
     def encode(self, text: str) -> bytes:
-        if text.isascii() or not _BEYOND.search(text):
+        if _SPECIAL not in text and (text.isascii() or not _BEYOND.search(text)):
             text = text.lower()  # as the tokenizer does; fewer distinct words to keep
         known = self.known
         if len(known) > CACHE_LIMIT:
@@ -181,7 +184,9 @@ def pack(pieces: DataFrame, n_rows: int, max_tokens: int = 2048, max_segments: i
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
     names = pieces.columns
     buckets = max(1, -(-n_rows // BUCKET))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.col(f"`{key_col}`")), F.lit(buckets)))
+    key = F.col(f"`{key_col}`")
+    by_id = F.xxhash64(key, *(F.col(c) for c in ("start", "ids_crc32") if c in names))
+    keyed = pieces.withColumn("bucket", F.pmod(F.when(key.isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(by_id), F.lit(buckets)))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([c for c in (key_col, "start", "ids_crc32") if c in pdf], kind="stable", ignore_index=True)

@@ -51,9 +51,9 @@ class PieceEncoder:
         self.cost_of = {p: -sp.get_score(i) for p, i in self.id_of.items()}
         joined = [p for p in self.id_of if len(p) > 1]
         marked = any(MARK in p.lstrip(MARK) for p in joined)
-        ends = not any("\n" in p for p in joined)
-        line = "\n" if ends else ""
-        self.cut = None if marked else re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if ends else ""))
+        self.ends = not any("\n" in p for p in joined)
+        line = "\n" if self.ends else ""
+        self.cut = None if marked else re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + ("|\n" if self.ends else ""))
         self.known: dict[str, tuple[int, ...]] = {}
         self.cache_limit = cache_limit
         self.fresh: dict[str, tuple[int, ...]] = {}
@@ -151,13 +151,23 @@ class PieceEncoder:
         return list(chain.from_iterable(parts))
 
     def check(self) -> None:
-        """Holds the chunks encoded since the last call against the library, which marks a text's start itself."""
+        """Holds all chunks encoded since the last call against the library.
+
+        It marks a text's start itself; a chunk without a mark stands behind a line end, which
+        is in no longer piece, and what the line end gives alone is taken off.
+        """
         marked = [c for c in self.fresh if c[0] == MARK and len(c) > 1]
-        for c, ids in zip(marked, self.library.encode([c[1:].replace(MARK, " ") for c in marked], num_threads=1), strict=True):
-            if tuple(ids) != self.fresh[c]:
-                raise ValueError(f"the library has {ids} for {c!r}, not {self.fresh[c]}")
+        self._compare(marked, [c[1:] for c in marked], 0)
+        if self.ends:
+            bare = [c for c in self.fresh if c[0] != MARK or len(c) == 1]
+            self._compare(bare, ["\n" + c for c in bare], len(self.library.encode("\n")))
         self.fresh = {}
 
+    def _compare(self, chunks: list[str], texts: list[str], skip: int) -> None:
+        for c, ids in zip(chunks, self.library.encode([t.replace(MARK, " ") for t in texts], num_threads=1), strict=True):
+            if tuple(ids[skip:]) != self.fresh[c]:
+                raise ValueError(f"the library has {ids[skip:]} for {c!r}, not {self.fresh[c]}")
+
 
 @lru_cache(maxsize=4)
 def encoder(model_file: str) -> PieceEncoder:

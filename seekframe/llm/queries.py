@@ -26,6 +26,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packing where all three limits count: turns of conversations, of which only the assistant's tokens bear loss."""
+    done = packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), public_tokenizers.path(WORD_TOKENIZER))
+    turn = F.from_json("doc_id", "conv_id long, turn long")
+    return done.select(turn["conv_id"].alias("conv_id"), turn["turn"].alias("turn"), "start", "length", "loss", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(documents(spark, sf_dir))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -69,6 +76,6 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), syncmers.as_text(F.col("sketch")).alias("fingerprint"), syncmers.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_pii, op4_lm_scoring, op5_piece_codec, op6_substring_dedup, op7_license_scan, op8_topk_search, op9_simhash, op10_syncmers)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_packing, op3_pii, op4_lm_scoring, op5_piece_codec, op6_substring_dedup, op7_license_scan, op8_topk_search, op9_simhash, op10_syncmers, packing_conversations)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -37,10 +38,13 @@ def test_long_chunks_use_the_heap_with_equal_results():
 
 
 def test_a_difference_from_the_library_raises():
-    e = piece_codec.PieceEncoder(MODEL)
-    e.fresh["▁hello"] = (1, 2, 3)
-    with pytest.raises(ValueError):
+    for chunk in ("▁hello", "hello", ",", "▁", "\n"):
+        e = piece_codec.PieceEncoder(MODEL)
+        e.encode("hello\nhello, \n a  b ▁ ")
         e.check()
+        e.fresh[chunk] = (1, 2, 3)
+        with pytest.raises(ValueError):
+            e.check()
 
 
 def test_digests(table, odd_rows):
@@ -61,6 +65,16 @@ def test_word_ids_equal_the_tokenizer(text):
     assert TOKENS.encode(text) == np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_word_ids_of_hostile_texts():
+    """Special strings in any case, letters of several lower-case characters, combining marks, every sign, long runs without spaces."""
+    r = random.Random(8)
+    parts = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "İ", "ı", "Σ", "ς", "ß", "ẞ", "ǅ", "\u0307", "\u0301", "\u0345", "é", "e\u0301", "Å", "Ω", "ﬁ", "中", "ไทย", "\u200d", "\u00a0", "\u3000", "\t", "\r\n", "\n", " ", " ", " ", "a", "Bc", "don't", "we'LL", "9", "٣", "_", "-", "²", *".,;:!?)]}([{\"'/\\+*&%$#@~`^=<>|"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 12))) for _ in range(100_000)]
+    expected = TOKENIZER.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, e in zip(texts, expected) if TOKENS.encode(t) != np.array(e.ids, dtype="<u4").tobytes()]
+    assert not wrong, wrong[:5]
+
+
 def test_word_ids_with_special_strings_and_a_full_cache(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_LIMIT", 5)
     t = packing.WordTokens(WORDS)
@@ -112,6 +126,16 @@ def test_all_three_limits_hold(sizes):
     assert len(set(seq.tolist())) <= max(len(sizes), 1)
 
 
+def test_null_and_repeated_ids_spread_over_buckets(table, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 50)
+    rows = [(None, "same words here")] * 300 + [(7, f"text number {i}") for i in range(300)]
+    got = packing.pack_documents(table(rows), WORDS, max_tokens=64).collect()
+    assert len(got) == 600
+    for keys in ([r for r in got if r.doc_id is None], [r for r in got if r.doc_id == 7]):
+        buckets = [r.sequence_id >> 36 for r in keys]
+        assert max(map(buckets.count, set(buckets))) < 100
+
+
 def test_a_piece_that_cannot_fit_raises():
     with pytest.raises(ValueError):
         packing.pack_sizes(np.array([60]), np.array([1]), (50, 4, 50))
