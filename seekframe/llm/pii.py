@@ -9,10 +9,11 @@ before it); gradient-boosted trees score it, and a candidate is selected if its
 reaches its generator's threshold.
 
 The trees are trained at first use, on made-up sentences whose candidates and features
-come from the very expressions that run on documents; half of the sentences set the
-thresholds: the lowest score with a precision of `PRECISION` or more on that half. The
-training rows are a fixed number that doesn't depend on the input. The trees then become
-plain CASE expressions in the plan.
+come from the very expressions that run on documents; half of the sentences calibrate the
+thresholds: the lowest score with a precision of `PRECISION` or more on that half, where a
+harmless sentence weighs `PRIOR` times as much, as harmless candidates are that much more
+frequent in documents than in the sentences. The training rows are a fixed number that
+doesn't depend on the input. The trees then become plain CASE expressions in the plan.
 
 Scale. Everything is an expression within the row: no shuffle, no join. Patterns use
 possessive runs and look-behinds, so no text makes them quadratic.
@@ -36,9 +37,7 @@ from .common import running_starts, text_or_empty
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("secret", "id", "contact")
 CONTEXT = 24
-PRECISION = 0.97
-#: Thresholds are at least this log-odds (0.9): documents have far more harmless candidates than the made-up sentences.
-LEAST_SCORE = 2.2
+PRECISION, PRIOR = 0.97, 20.0
 
 # The patterns of the contract, written so that a failing run is tried once.
 BASE_PATTERNS = {
@@ -178,7 +177,7 @@ def with_candidates(df: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Trees:
-    """Depth-2 regression trees over FEATURES and the generator; `thresholds` by generator."""
+    """Regression trees over FEATURES and the generator; `thresholds` by generator."""
 
     start: float
     trees: list
@@ -299,10 +298,12 @@ def trained(spark: SparkSession) -> Trees:
         for k, g in enumerate(GENERATORS):
             mine = ~fit_half & (x[:, len(FEATURES) + k] == 1)
             order = np.argsort(-z[mine], kind="stable")
-            zs, hit = z[mine][order], np.cumsum(y[mine][order]) / np.arange(1, mine.sum() + 1)
+            zs, personal = z[mine][order], y[mine][order]
+            hit = np.cumsum(personal) / np.cumsum(np.where(personal == 1, 1.0, PRIOR))
             ends = np.concatenate((zs[1:] < zs[:-1], [True]))
             good = np.flatnonzero((hit >= PRECISION) & ends)
-            thresholds[g[0]] = max(float(zs[good[-1]]), LEAST_SCORE) if len(good) else float("inf")
+            # Midway to the next lower score, as sentences not seen lie on either side.
+            thresholds[g[0]] = float((zs[good[-1]] + zs[min(good[-1] + 1, len(zs) - 1)]) / 2) if len(good) else float("inf")
         _trained = Trees(start, trees, thresholds)
     return _trained
 

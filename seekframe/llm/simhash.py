@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import is_empty, narrow, shared
 
 SEED = 42
-RUN_LIMIT = 4096
+RUN_LIMIT, HOT_SHARE = 4096, 1000
 ROUNDS_LIMIT = 60
 _CHUNK = 1 << 16
 
@@ -218,8 +218,21 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     nodes = connected(links(merged.select("fp"), radius, limit)).join(merged, F.col("node") == F.col("fp")).select("fp", "root", "least")
     roots = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = nodes.join(roots, "root").select("fp", "component_id")
-    groups = merged.join(linked, "fp", "left").where("copies > 1 or component_id is not null").select(F.col("fp").alias("gfp"), F.coalesce("component_id", "least").alias("gid"))
-    return rows.join(groups, F.col("fp") == F.col("gfp"), "left").select("doc_id", "fp", F.coalesce("gid", "doc_id").alias("component_id"))
+    groups = shared(merged.join(linked, "fp", "left").where("copies > 1 or component_id is not null").select("fp", "copies", F.coalesce("component_id", "least").alias("gid")))
+    return with_groups(rows, groups, "fp").select("doc_id", "fp", F.coalesce("gid", "doc_id").alias("component_id"))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows left join groups (key, copies, gid), one row of groups for a key.
+
+    A key that has a thousandth of all rows or more is one of a thousand at most: these are
+    broadcast, so the rows of a hot key never meet in one task.
+    """
+    limit = max(rows.count() // HOT_SHARE, 1)
+    hot = F.broadcast(groups.where(F.col("copies") >= limit).select(key, F.col("gid").alias("hot_gid"), F.lit(True).alias("hot")))
+    both = rows.join(hot, key, "left")
+    rest = both.where("hot is null").drop("hot", "hot_gid").join(groups.where(F.col("copies") < limit).select(key, "gid"), key, "left")
+    return rest.unionByName(both.where("hot").withColumnRenamed("hot_gid", "gid").drop("hot"))
 
 
 def fp_hex(fp: Column) -> Column:

@@ -1,11 +1,13 @@
 """Removal of repeated passages by hashing normalised units.
 
-A text's units are its lines, cut further where a sentence starts (after a full stop and
-before a capital), so a passage pasted into the middle of a line still consists of whole
-units. A unit is normalised (lower case, single spaces) and hashed to 128 bits. Over all
-documents the earliest occurrence of each digest stays, ranked by doc_id, then by a hash
-of the text, then by position; all others are candidates. A document loses its runs of
-consecutive candidates that have at least `min_words` words together; shorter runs are
+A text's units are its lines, cut further behind a full stop, question or exclamation
+mark and before any capital that follows a space, so a passage pasted into the middle of a
+sentence still consists of whole units. (In scripts that write every noun with a capital
+units are short; what they are joined to again is decided by the runs below.) A unit is
+normalised (lower case, single spaces) and hashed to 128 bits. Over all documents the earliest occurrence of each digest stays, ranked by
+doc_id, then by a hash of the text, then by position; all others are repeats. With
+`whole_lines`, repeated lines go whatever their length. Of repeated sentences within lines
+a document loses runs that have at least `min_words` words together; shorter runs are
 chance repeats of short sentences and stay. Removed spans keep their offsets in the
 original text, in code points.
 
@@ -16,7 +18,8 @@ document's repeated units is no longer than the document.
 
 Cases. Null text counts as empty. Rows that repeat an id and a text have the same rank:
 they are treated alike, and don't count as each other's repeats. Null ids rank first.
-Blank lines belong to no unit and don't end a run. An empty table gives an empty result.
+Blank lines belong to no unit and don't end a run. Other columns, whatever their names,
+come through unchanged. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -123,18 +126,18 @@ def repeats(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", t
 
 def remove(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = "removed", whole_lines: bool = False) -> DataFrame:
     """df with its repeated passages gone from text_col, and their original (start, end) in spans_col (None: not kept)."""
-    found = repeats(df, min_words, id_col, text_col, whole_lines).select(F.col("doc_id").alias("__id"), F.col("rh").alias("__rh"), F.col("runs").alias("__runs"))
-    text = F.col("__text")
-    rows = df.withColumn("__text", text_or_empty(text_col)).withColumn("__h", F.xxhash64("__text"))
-    rows = rows.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__rh")), "left")
-    raw = F.when(F.col("__runs").isNotNull(), _units(text))
-    rows = rows.withColumn("__units", raw)
-    rows = rows.withColumn("__spot", F.arrays_zip(running_starts(F.transform("__units", lambda u: F.char_length(u))).alias("start"), F.transform("__units", lambda u: F.char_length(u)).alias("len"), F.transform("__units", _some).alias("some")))
-    rows = rows.withColumn("__spot", F.filter("__spot", lambda x: x["some"]))
-    spans = F.transform("__runs", lambda r: F.struct(F.get("__spot", r["first"])["start"].alias("start"), (F.get("__spot", r["last"])["start"] + F.get("__spot", r["last"])["len"]).alias("end")))
-    rows = rows.withColumn("__spans", F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")))
-    cuts = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.transform("__spans", lambda s: s["end"])).alias("a"), F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.char_length(text).cast("long"))).alias("b"))
+    found = repeats(df, min_words, id_col, text_col, whole_lines)
+    # The whole row goes in one column, so no name of df can meet one of these.
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
+    text = F.col("text")
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("rh")), "left")
+    rows = rows.withColumn("units", F.when(F.col("runs").isNotNull(), _units(text)))
+    length = F.transform("units", lambda u: F.char_length(u))
+    rows = rows.withColumn("spots", F.filter(F.arrays_zip(running_starts(length).alias("start"), length.alias("len"), F.transform("units", _some).alias("some")), lambda x: x["some"]))
+    spans = F.transform("runs", lambda r: F.struct(F.get("spots", r["first"])["start"].alias("start"), (F.get("spots", r["last"])["start"] + F.get("spots", r["last"])["len"]).alias("end")))
+    rows = rows.withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    cuts = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s["end"])).alias("a"), F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.char_length(text).cast("long"))).alias("b"))
     kept = F.array_join(F.transform(cuts, lambda c: F.substring(text, (c["a"] + 1).cast("int"), (c["b"] - c["a"]).cast("int"))), "")
-    rows = rows.withColumn(text_col, F.when(F.size("__spans") > 0, kept).otherwise(F.col(f"`{text_col}`")))
-    extra = [F.col("__spans").alias(spans_col)] if spans_col else []
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], *extra)
+    new = F.when(F.size("spans") > 0, kept).otherwise(F.col("row").getField(text_col))
+    extra = [F.col("spans").alias(spans_col)] if spans_col else []
+    return rows.select(*((new if c == text_col else F.col("row").getField(c)).alias(c) for c in df.columns), *extra)

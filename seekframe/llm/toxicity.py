@@ -12,13 +12,15 @@ The softmax is linear in the average, so once trained each n-gram needs one numb
 word the mean of its n-grams' numbers (kept in a bounded cache), and each window a mean.
 
 Training uses at most `train_docs` labelled rows of each class: those with the smallest
-hash of their id, a sample that doesn't depend on order or partitions. Only their texts
-come to the driver.
+hash of their id, a sample that doesn't depend on order or partitions, and of these the
+first whose texts have `TRAIN_CHARS` characters together. Only their texts come to the
+driver. Scoring reads whole texts, whatever their length.
 
 Cases. Null text counts as empty; an empty text scores by the bias alone, like a text of
-words without any known n-gram. Rows that repeat each give a row. Labels of ids without a
-document, null labels, and a table without labels of both classes are borne: then every
-score is 0.
+words without any known n-gram. Rows that repeat each give a row; if texts share a labelled
+id, the smallest text is trained on. An id with two labels counts as toxic. Labels of ids
+without a document, null labels, and a table without labels of both classes are borne: then
+every score is 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,14 +34,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import narrow, shared
 
 BUCKETS, DIM, WINDOW = 1 << 16, 8, 4
 NGRAMS = (3, 4, 5)
-TRAIN_DOCS = 1500
+TRAIN_DOCS, TRAIN_CHARS = 1500, 60_000_000
 #: Windows of a text that a run of REFRESH steps looks at.
 ACTIVE, REFRESH = 4, 12
 CACHE_LIMIT = 300_000
@@ -195,9 +197,18 @@ def train(df: DataFrame, labels: DataFrame, label_col: str = "toxic", train_docs
         return fit([], [])
     spark = df.sparkSession
     small = F.broadcast(spark.createDataFrame([(r.doc_id, r.y) for r in picked], f"doc_id {known.schema['doc_id'].dataType.simpleString()}, y int"))
-    rows = narrow(df, id_col, text_col).join(small, "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return fit([r.text for r in rows], [r.y for r in rows])
+    rows = shared(narrow(df, id_col, text_col).join(small, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")))
+    # Classes alternate, so both keep their share if long texts use the characters up.
+    order = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chars = 0
+    wanted = []
+    for r in sorted(rows.select("doc_id", "y", F.char_length("text").alias("n"), order.alias("place")).collect(), key=lambda r: (r.place, r.y)):
+        if wanted and chars + r.n > TRAIN_CHARS:
+            continue
+        chars += r.n
+        wanted.append(r.doc_id)
+    texts = sorted(rows.where(F.col("doc_id").isin(wanted)).collect(), key=lambda r: r.doc_id)
+    return fit([r.text for r in texts], [r.y for r in texts])
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
