@@ -108,13 +108,56 @@ def test_phrases_equal_brute_force(text):
 def test_whole_and_edited_templates_are_found(name):
     t = license_scan.TEMPLATES[name].split()
     got = license_scan.scan_text(("some words before " + " ".join(t) + " and after").encode())
-    assert name in got["labels"].split(",") and got["score"] > 0.6
+    label = license_scan.LABEL_OF.get(name, name)
+    assert label in got["labels"].split(",") and got["score"] > 0.6
     if len(t) > 25:
         t[len(t) // 2] = "zzz"
         assert name in license_scan.scan_text(" ".join(t).encode())["labels"].split(",")
         assert name not in {x["template"] for x in license_scan.scan_text(" ".join(t[:8]).encode())["spans"]}
 
 
+def test_repeated_runs_of_a_template_count_at_each_place():
+    a = license_scan.automaton()
+    no = a.names.index("apache")
+    t = license_scan.TEMPLATES["apache"].split()
+    run = "the license you may".split()
+    assert [t[i : i + 4] for i in range(len(t))].count(run) == 2
+    chain = [c for c in a.chains(a.scan(" ".join([*run, "zzz", *run]).encode().split())[1]) if c[0] == no]
+    assert chain == [(no, 0, 9, 8)]
+    # Two copies of a text are two spans.
+    mit = license_scan.TEMPLATES["mit"]
+    spans = [x for x in license_scan.scan_text(f"{mit} {mit}".encode())["spans"] if x["template"] == "mit"]
+    n = len(mit.split())
+    assert [(x["first_word"], x["end_word"], x["cover"]) for x in spans] == [(0, n, 1.0), (n, 2 * n, 1.0)]
+
+
+def test_chains_cover_what_the_best_choice_of_places_covers():
+    """Against all ways of choosing one place, or none, for each match."""
+    import itertools
+    import random
+
+    r = random.Random(6)
+    a = license_scan.Automaton({"t": "a b c d a b e f a b c g"}, {})
+    for _ in range(300):
+        words = [r.choice("abcdefgz").encode() for _ in range(r.randrange(2, 12))]
+        matches = [m for m in a.scan(words)[1] if m[1] >= 2]
+        best = 0
+        for choice in itertools.product(*([None, *a.ends[s][0]] for _, _, s in matches)):
+            covered, last = 0, None
+            for (end, n, _), place in zip(matches, choice):
+                if place is None:
+                    continue
+                if last is None:
+                    covered, last = n, (end, place)
+                elif place > last[1] and end - n - last[0] <= 4:
+                    covered, last = covered + min(n, end - last[0], place - last[1]), (end, place)
+                else:
+                    break
+            else:
+                best = max(best, covered)
+        assert max((c[3] for c in a.chains(matches, 2, 4)), default=0) == best, words
+
+
 def test_matching_statistics_equal_brute_force():
     a = license_scan.automaton()
     texts = [t.encode().split() for t in [*license_scan.TEMPLATES.values(), *license_scan.PHRASES]]
