@@ -4,14 +4,15 @@ Hits are rows (qid, doc_id, score, rank, source); rank counts from 1. Ties go to
 smaller doc_id. Larger scores are nearer for every metric: the inner product, or minus
 the squared distance.
 
-Vectors are scored by matrix products in Arrow batches. Queries come in blocks of at most
-`QUERY_BLOCK`; only one block is broadcast at a time, so what a task holds doesn't grow
-with the number of queries. Each task sends at most k rows for each query.
+Vectors are scored by matrix products in Arrow batches. Queries come in blocks of about
+`QUERY_BLOCK`, each fetched as one Arrow table. One block is a lazy plan; of several, each is
+searched and its hits are written before the next is fetched, so neither the driver nor a
+task ever holds more than one. Each task sends at most k rows for each query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,8 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 QUERY_BLOCK = 4096
 _CELLS = 4_000_000
+HITS = "qid long, doc_id long, score double"
 
 
 def ranked(hits: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -55,46 +59,73 @@ def _best(s: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
     return np.take_along_axis(s, order, axis=1), np.take_along_axis(d, order, axis=1)
 
 
-def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of (qid, vector) rows, block by block; rows without a vector have no neighbours."""
-    ids, rows = [], []
-    for r in queries.where("vector is not null").select("qid", "vector").toLocalIterator():
-        ids.append(r.qid)
-        rows.append(r.vector)
-        if len(ids) == block:
-            yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
+class Best:
+    """The first k of what was added for each query."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.scores, self.docs = np.empty((len(ids), 0)), np.empty((len(ids), 0), dtype=np.int64)
+        #: Documents that are scored at once.
+        self.step = max(1, _CELLS // max(len(ids), 1))
+
+    def add(self, scores: np.ndarray, docs: np.ndarray, again: bool = False) -> None:
+        """scores: a row for each query, a column for each of docs, which are distinct; again: some may have been added before."""
+        d = np.broadcast_to(docs, scores.shape)
+        if again:
+            scores, d = _best(scores, d, self.k)
+            scores[(d[:, :, None] == self.docs[:, None, :]).any(axis=2)] = -np.inf
+        self.scores, self.docs = _best(np.concatenate((self.scores, scores), axis=1), np.concatenate((self.docs, d), axis=1), self.k)
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        n = self.scores.shape[1]
+        real = (self.scores > -np.inf).ravel()
+        if real.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)[real]), pa.array(self.docs.ravel()[real]), pa.array(self.scores.ravel()[real].astype(np.float64))], names=["qid", "doc_id", "score"])
+
+
+def by_blocks(queries: DataFrame, search: Callable[[pa.Table], DataFrame | None], block: int = QUERY_BLOCK) -> DataFrame:
+    """What search gives for the queries, block by block; queries has a column qid."""
+    spark = queries.sparkSession
+    first = queries.limit(block + 1).toArrow()
+    if first.num_rows <= block:
+        found = search(first) if first.num_rows else None
+        return spark.createDataFrame([], HITS) if found is None else found
+    blocks = -(-queries.count() // block)
+    parts = []
+    for no in range(blocks):
+        table = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == no).toArrow()
+        found = search(table) if table.num_rows else None
+        if found is not None:
+            parts.append(stored(found))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def with_vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of a block (qid, vector)."""
+    return table.column("qid").to_numpy().astype(np.int64), matrix(table.column("vector").combine_chunks())
 
 
 def _nearest(ids: np.ndarray, queries: np.ndarray, k: int, metric: str):
-    dim = queries.shape[1]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, _CELLS // len(ids))
-        best_s, best_d = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), dtype=np.int64)
+        best = Best(ids, k)
         for b in batches:
-            docs, vectors = b.column(0).to_numpy(), matrix(b.column(1), dim)
-            for at in range(0, len(docs), step):
-                s = _scores(vectors[at : at + step], queries, metric).T
-                d = np.broadcast_to(docs[at : at + step], s.shape)
-                s, d = np.concatenate((best_s, s), axis=1), np.concatenate((best_d, d), axis=1)
-                best_s, best_d = _best(s, d, k)
-        n = best_s.shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_d.ravel()), pa.array(best_s.ravel())], names=["qid", "doc_id", "score"])
+            docs, vectors = b.column(0).to_numpy(), matrix(b.column(1), queries.shape[1])
+            for at in range(0, len(docs), best.step):
+                best.add(_scores(vectors[at : at + best.step], queries, metric).T, docs[at : at + best.step])
+        yield from best.hits()
 
     return run
 
 
 def flat_knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "ip", source: str = "dense", block: int = QUERY_BLOCK) -> DataFrame:
-    """The exact k nearest of corpus (doc_id, vector) for each of queries (qid, vector)."""
+    """The exact k nearest of corpus (doc_id, vector) for each of queries (qid, vector). Rows without a vector have no neighbours and are none."""
     rows = corpus.select("doc_id", "vector").where("vector is not null")
-    found = [rows.where(F.size("vector") == vectors.shape[1]).mapInArrow(_nearest(ids, vectors, k, metric), "qid long, doc_id long, score double") for ids, vectors in query_blocks(queries, block)]
-    if not found:
-        found = [rows.sparkSession.createDataFrame([], "qid long, doc_id long, score double")]
-    return ranked(reduce(DataFrame.unionByName, found), k).withColumn("source", F.lit(source))
+
+    def search(table: pa.Table) -> DataFrame:
+        ids, vectors = with_vectors(table)
+        return rows.where(F.size("vector") == vectors.shape[1]).mapInArrow(_nearest(ids, vectors, k, metric), HITS)
+
+    return ranked(by_blocks(queries.where("vector is not null").select("qid", "vector"), search, block), k).withColumn("source", F.lit(source))
 
 
 def score_pairs(pairs: DataFrame, metric: str = "ip") -> DataFrame:

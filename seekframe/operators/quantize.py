@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import bit_words, sq8_decoded, sq8_encoded
-from .dense import QUERY_BLOCK, flat_knn, matrix, query_blocks, ranked
+from .dense import HITS, QUERY_BLOCK, Best, by_blocks, flat_knn, matrix, ranked, with_vectors
 
 TRAIN_SAMPLE = 100_000
 
@@ -31,45 +31,27 @@ def binary(corpus: DataFrame) -> DataFrame:
 
 def _near_bits(ids: np.ndarray, words: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s, best_d = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0), dtype=np.int64)
-        step = max(1, 2_000_000 // (len(ids) * words.shape[1]))
+        best = Best(ids, k)
+        step = max(1, best.step // (2 * words.shape[1]))
         for b in batches:
             docs, own = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1).view(np.uint64)
             for at in range(0, len(docs), step):
-                s = -np.bitwise_count(words[:, None, :] ^ own[None, at : at + step, :]).sum(axis=2).astype(np.int64)
-                s = np.concatenate((best_s, s), axis=1)
-                d = np.concatenate((best_d, np.broadcast_to(docs[at : at + step], (len(ids), s.shape[1] - best_s.shape[1]))), axis=1)
-                order = np.lexsort((d, -s), axis=1)[:, :k]
-                best_s, best_d = np.take_along_axis(s, order, axis=1), np.take_along_axis(d, order, axis=1)
-        n = best_s.shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_d.ravel()), pa.array(best_s.ravel().astype(np.float64))], names=["qid", "doc_id", "score"])
+                differ = np.bitwise_count(words[:, None, :] ^ own[None, at : at + step, :]).sum(axis=2, dtype=np.int64)
+                best.add(-differ.astype(np.float64), docs[at : at + step])
+        yield from best.hits()
 
     return run
 
 
 def hamming_knn(codes: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest of codes (doc_id, words) by differing bits; the score is minus their number."""
-    asked = queries.select("qid", bit_words(F.col("vector")).cast("array<bigint>").alias("vector"))
-    found = None
-    for ids, rows in _word_blocks(asked, block):
-        part = codes.select("doc_id", "words").mapInArrow(_near_bits(ids, rows, k), "qid long, doc_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = codes.sparkSession.createDataFrame([], "qid long, doc_id long, score double")
-    return ranked(found, k).withColumn("source", F.lit("dense"))
-
-
-def _word_blocks(asked: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for r in asked.where("vector is not null").toLocalIterator():
-        ids.append(r.qid)
-        rows.append(r.vector)
-        if len(ids) == block:
-            yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.int64).view(np.uint64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.int64).view(np.uint64)
+    asked = queries.where("vector is not null").select("qid", bit_words(F.col("vector")).cast("array<bigint>").alias("words"))
+
+    def search(table: pa.Table) -> DataFrame:
+        words = table.column("words").combine_chunks()
+        return codes.select("doc_id", "words").mapInArrow(_near_bits(table.column("qid").to_numpy().astype(np.int64), words.flatten().to_numpy().reshape(len(words), -1).view(np.uint64), k), HITS)
+
+    return ranked(by_blocks(asked, search, block), k).withColumn("source", F.lit("dense"))
 
 
 class ProductCodes:
@@ -110,25 +92,25 @@ class ProductCodes:
 
     def knn(self, codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         """Hits by inner product with the decoded vectors, from one table of part products for each query."""
-        books, found = self.books, None
-        for ids, vectors in query_blocks(queries, 512):
+        books = self.books
+
+        def search(table: pa.Table) -> DataFrame:
+            ids, vectors = with_vectors(table)
             tables = np.stack([part @ book.T for part, book in zip(np.split(vectors, len(books), axis=1), books)], axis=1)
 
-            def run(batches: Iterator[pa.RecordBatch], ids=ids, tables=tables) -> Iterator[pa.RecordBatch]:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                best = Best(ids, k)
                 for b in batches:
-                    if not b.num_rows:
-                        continue
                     docs, own = b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-                    s = sum(tables[:, j, own[:, j]] for j in range(own.shape[1]))
-                    order = np.lexsort((np.broadcast_to(docs, s.shape), -np.round(s, 9)), axis=1)[:, :k]
-                    n = order.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(docs[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())], names=["qid", "doc_id", "score"])
-
-            part = codes.mapInArrow(run, "qid long, doc_id long, score double")
-            found = part if found is None else found.unionByName(part)
-        if found is None:
-            found = codes.sparkSession.createDataFrame([], "qid long, doc_id long, score double")
-        return ranked(found, k).withColumn("source", F.lit("dense"))
+                    for at in range(0, len(docs), best.step):
+                        part = own[at : at + best.step]
+                        best.add(sum(tables[:, j, part[:, j]] for j in range(part.shape[1])), docs[at : at + best.step])
+                yield from best.hits()
+
+            return codes.mapInArrow(run, HITS)
+
+        asked = queries.where("vector is not null").select("qid", "vector")
+        return ranked(by_blocks(asked, search, 512), k).withColumn("source", F.lit("dense"))
 
 
 def _nearest_code(part: np.ndarray, book: np.ndarray) -> np.ndarray:

@@ -1,28 +1,48 @@
 """Lexical search: corpus statistics, postings, and BM25 over whole query batches.
 
-Everything is joins and aggregations on terms: postings are counted within tasks before
-the shuffle, queries touch only the postings of their own terms, and a term in many
-documents is split by Spark's skewed-join handling. The same constants hold throughout:
-k1 = 1.5, b = 0.75, epsilon = 0.25.
+Texts are split and their terms counted text by text, in Arrow batches; every posting
+carries its text's length. An index is written as Parquet in the order of its terms, so a
+search reads the row groups of its own terms, and joins postings only with the weights of
+the queries' terms; a term in many documents is split by Spark's skewed-join handling. The
+same constants hold throughout: k1 = 1.5, b = 0.75, epsilon = 0.25.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import shared
+from ..session import stored
 from .dense import ranked
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) of docs (doc_id, text)."""
-    return docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """(term, doc_id, tf, dl) of docs (doc_id, text): dl is the text's number of tokens. Tokens as in functions.text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    token = re.compile("[a-z0-9]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, terms, counts, sizes = [], [], [], []
+            for row, t in enumerate(b.column(1).to_pylist()):
+                found = token.findall((t or "").lower())
+                tf = Counter(found)
+                rows.extend([row] * len(tf))
+                sizes.extend([len(found)] * len(tf))
+                terms.extend(tf)
+                counts.extend(tf.values())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), b.column(0).take(pa.array(rows, pa.int64())), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], names=["term", "doc_id", "tf", "dl"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"term string, doc_id {kind}, tf long, dl long")
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -35,9 +55,14 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return lengths(docs).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def idf(posts: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    """(term, df, idf): Okapi's logarithm; a negative one becomes epsilon times the mean over all terms."""
-    raw = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))
+def document_frequencies(posts: DataFrame) -> DataFrame:
+    """(term, df)."""
+    return posts.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def idf(terms: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """(term, df, idf) of terms (term, df): Okapi's logarithm; a negative one becomes epsilon times the mean over all terms."""
+    raw = terms.crossJoin(F.broadcast(stats.select("n")))
     raw = raw.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -48,15 +73,17 @@ class LexicalIndex:
     """Postings and statistics of a corpus; build() reads and splits the texts once, whatever is asked afterwards."""
 
     docs: DataFrame  # doc_id
-    posts: DataFrame  # term, doc_id, tf
+    posts: DataFrame  # term, doc_id, tf, dl; in the order of terms
+    terms: DataFrame  # term, df
     stats: DataFrame  # n, avgdl
 
     @classmethod
     def build(cls, docs: DataFrame) -> "LexicalIndex":
-        posts = shared(postings(docs))
+        posts = stored(postings(docs).repartitionByRange("term").sortWithinPartitions("term"))
+        terms = stored(document_frequencies(posts))
         total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
         stats = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avgdl"))
-        return cls(docs.select("doc_id"), posts, shared(stats))
+        return cls(docs.select("doc_id"), posts, terms, stored(stats))
 
     def search(self, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B, epsilon: float = EPSILON, fill_zero: bool = False) -> DataFrame:
         """Hits of queries (qid, text). A query's repeated words count as often as they stand there.
@@ -65,12 +92,10 @@ class LexicalIndex:
         where a query has fewer than k hits, smallest ids first.
         """
         asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-        weights = asked.join(idf(self.posts, self.stats, epsilon), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-        touched = self.posts.join(weights.select("term").distinct(), "term", "left_semi")
-        length = self.posts.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-        norm = length.crossJoin(F.broadcast(self.stats)).select("doc_id", (F.lit(k1) * (F.lit(1.0 - b) + F.lit(float(b)) * F.col("dl") / F.col("avgdl"))).alias("norm"))
-        impact = touched.join(norm, "doc_id").select("term", "doc_id", (F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.col("norm"))).alias("impact"))
-        scores = impact.join(weights, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+        weights = asked.join(idf(self.terms, self.stats, epsilon), "term").select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w"))
+        impact = F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.lit(k1) * (F.lit(1.0 - b) + F.lit(float(b)) * F.col("dl") / F.col("avgdl")))
+        touched = self.posts.join(weights, "term").crossJoin(F.broadcast(self.stats.select("avgdl")))
+        scores = touched.groupBy("qid", "doc_id").agg(F.sum(F.col("w") * impact).alias("score"))
         if fill_zero:
             # Of the 2k smallest ids at least k have no hit or the query has k hits anyway.
             first = self.docs.orderBy("doc_id").limit(2 * k)

@@ -181,13 +181,13 @@ def r2_ann_kmeans(spark: SparkSession, d: str) -> DataFrame:
     """Approximate search over k-means partitions (stands in for a graph index); tested for recall."""
     c, q = _vectors(spark, d), _asked(spark, d)
     centroids = ivf.kmeans_centroids(c)
-    return _hits(ivf.search(c, q, ivf.assign(c, centroids, 2), ivf.route(q, centroids, 8)))
+    return _hits(ivf.search(ivf.assign(c, centroids, 2), q, ivf.route(q, centroids, 8)))
 
 
 @query(f"WITH {_KNN}, {_CENTROIDS}, {_ROUTES}, {_ASSIGNED}, {_top_sql('SELECT DISTINCT qid, doc_id, list_dot_product(q.v, e.v) AS score FROM routes JOIN a USING (partition_id) JOIN e USING (doc_id) JOIN q USING (qid) WHERE place <= 3', 'dense')} {_OUT}")
 def r3_partitioned_knn(spark: SparkSession, d: str) -> DataFrame:
     c, q, cents = _vectors(spark, d), _asked(spark, d), _label_centroids(spark, d)
-    return _hits(ivf.search(c, q, ivf.assign(c, cents, 2), ivf.route(q, cents, 3)))
+    return _hits(ivf.search(ivf.assign(c, cents, 2), q, ivf.route(q, cents, 3)))
 
 
 @query(f"WITH {_KNN}, {_CENTROIDS}, {_ROUTES} SELECT qid, partition_id, round(score, 6) AS score, place FROM routes WHERE place <= 4")

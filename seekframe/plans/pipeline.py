@@ -69,8 +69,8 @@ class Pipeline:
             return dense.flat_knn(self.corpus, queries, k, metric)
         if self.centroids is None:
             self.centroids = ivf.kmeans_centroids(self.corpus, c.get("partitions", 16))
-        assigned = ivf.assign(self.corpus, self.centroids, c.get("overlap", 1))
-        return ivf.search(self.corpus, queries, assigned, ivf.route(queries, self.centroids, c.get("nprobe", 8), c.get("adaptive_gap")), k, metric)
+        assigned = ivf.assign(self.corpus, self.centroids, c.get("overlap", 1), metric)
+        return ivf.search(assigned, queries, ivf.route(queries, self.centroids, c.get("nprobe", 8), c.get("adaptive_gap"), metric), k, metric)
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """Hits (qid, doc_id, score, rank, source) of queries (qid, text, vector)."""

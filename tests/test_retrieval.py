@@ -51,10 +51,10 @@ def test_probing_all_partitions_is_exact(spark, corpus, asked, tmp_path):
     exact = lists(dense.flat_knn(corpus, asked, 5))
     for overlap in (1, 3):
         assigned = ivf.assign(corpus, cents, overlap)
-        assert lists(ivf.search(corpus, asked, assigned, ivf.route(asked, cents, 6), 5)) == exact
-        few = lists(ivf.search(corpus, asked, assigned, ivf.route(asked, cents, 2), 5))
+        assert lists(ivf.search(assigned, asked, ivf.route(asked, cents, 6), 5)) == exact
+        few = lists(ivf.search(assigned, asked, ivf.route(asked, cents, 2), 5))
         assert all(few[q][0] == exact[q][0] for q in few)
-    ivf.save(corpus, assigned, cents, str(tmp_path / "ix"), nprobe=6)
+    ivf.save(assigned, cents, str(tmp_path / "ix"), nprobe=6)
     assert lists(ivf.search_saved(spark, str(tmp_path / "ix"), asked, k=5)) == exact
 
 
@@ -76,7 +76,7 @@ def test_adaptive_routing_keeps_the_place_after_the_gap(spark, asked):
 
 def test_kmeans_search_reaches_the_recall_floor(corpus, asked):
     cents = ivf.kmeans_centroids(corpus, 8)
-    found = lists(ivf.search(corpus, asked, ivf.assign(corpus, cents, 2), ivf.route(asked, cents, 6), 10))
+    found = lists(ivf.search(ivf.assign(corpus, cents, 2), asked, ivf.route(asked, cents, 6), 10))
     exact = lists(dense.flat_knn(corpus, asked, 10))
     assert np.mean([len(set(found[q]) & set(exact[q])) / 10 for q in exact]) >= 0.9
 
