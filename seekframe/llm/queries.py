@@ -40,8 +40,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return lm_scoring.score(docs, lm_scoring.train(docs))
+    return lm_scoring.score(lm_scoring.train(documents(spark, sf_dir)))
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,13 @@ def simhash64(text: bytes, shingle: int = 4) -> int:
             at += len(w) + 1
         starts.append(at)
         hashes = [digest(line[s : e - 1], SEED) for s, e in zip(starts, starts[shingle:])]
-    values = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that more than half of some 64-bit hashes have; 0 for none."""
+    if not len(values):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(values), _CHUNK):
         part = values[i : i + _CHUNK]

@@ -199,39 +199,131 @@ def test_fingerprints_hold_all_anchors(spark):
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
     a, b = ({x.hash for x in r.anchors} for r in syncmers.anchors(df).orderBy("doc_id").collect())
     got = {r.doc_id: r for r in syncmers.compare_edited(df).collect()}
-    assert got[1].sketch == sorted(a) and got[2].sketch == sorted(b) and len(a) > 1500
+    assert [x >> 32 for x in got[1].sketch] == sorted(a) and [x >> 32 for x in got[2].sketch] == sorted(b) and len(a) > 1500
     assert got[1].near_next == got[2].near_next == pytest.approx(len(a & b) / len(a | b)) and got[1].near_next < 1
 
 
+def positional(a, b):
+    """Likeness of two lists of (place, hash), in plain Python."""
+    first = []
+    for x in (a, b):
+        f = {}
+        for at, h in x:
+            f.setdefault(h, at)
+        first.append(f)
+    a, b = first
+    diagonals = Counter(b[h] - a[h] for h in a.keys() & b.keys())
+    n = sum(1 for h in a.keys() & b.keys() if diagonals[b[h] - a[h]] > 1 or min(len(a), len(b)) <= 1)
+    return 1.0 if not a and not b else n / max(len(a) + len(b) - n, 1)
+
+
+def test_likeness_counts_positions_as_brute_force_does(spark):
+    r = random.Random(12)
+    texts = []
+    for i in range(60):
+        words = prose(r.randrange(8), r.choice([0, 3, 6, 40, 300])).split()
+        if words and r.random() < 0.5:
+            at = r.randrange(len(words))
+            words[at:at] = prose(77, r.randrange(1, 60)).split()
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {x.doc_id: [(y.at, y.hash) for y in x.anchors] for x in syncmers.anchors(df).collect()}
+    edited = {}
+    got = {x.doc_id: x for x in syncmers.compare_edited(df).collect()}
+    for x in syncmers.anchors(spark.createDataFrame([(i, x.edited) for i, x in got.items()], "doc_id long, text string")).collect():
+        edited[x.doc_id] = [(y.at, y.hash) for y in x.anchors]
+    for i in range(60):
+        assert got[i].near_next == pytest.approx(positional(found[i], found[(i + 1) % 60])), i
+        assert got[i].near_edited == pytest.approx(positional(found[i], edited[i])), i
+
+
+def test_passages_by_position(spark):
+    passage = prose(55, 70)
+    a, b = f"{prose(1, 40)} {passage} {prose(2, 30)}", f"{prose(3, 90)} {passage}"
+    r = syncmers.matches(spark.createDataFrame([(1, a, b), (2, a, ""), (3, None, b)], "id int, a string, b string")).orderBy("id").collect()
+    longest = max(r[0].passages, key=lambda x: x.words)
+    assert longest.words >= 60 and 40 <= longest.a <= 46 and longest.b - longest.a == 50
+    assert r[1].passages == [] and not r[2].passages
+
+
+def test_next_rows_of_many_ranges(spark, monkeypatch):
+    """Ids of another type, null and repeated ids, copies, more ranges than rows."""
+    rows = [(f"k{i % 50:03}", f"text {i // 50} of {i % 50} " + prose(i, 12)) for i in range(120)] + [(None, "no id")] * 3 + [("k001", "same")] * 4
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    order = sorted({(i or "", t, i is None) for i, t in rows}, key=lambda x: x[0])
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t, _ in order], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order.sort(key=lambda x: (not x[2], x[0], hashes[x[1]]))
+    expected = Counter()
+    for n, (i, t, null) in enumerate(order):
+        nxt, half = order[(n + 1) % len(order)][1], len(t) // 2
+        key = None if null else i
+        expected[key, t[: len(t) - half] + nxt[:half]] += rows.count((key, t))
+    assert Counter((r.doc_id, r.edited) for r in syncmers.compare_edited(df).collect()) == expected
+
+
 # ---- language model ----
 
 
-def test_window_counts_and_scores_equal_brute_force(table, odd_rows):
-    rows = odd_rows + [(100 + i, prose(i, 60)) for i in range(20)]
-    df = table(rows)
-    model = lm_scoring.train(df, size=30, classes=8)
-    counts = Counter(w for _, t in rows for w in words_of((t or "").encode()))
-    top = sorted(counts, key=lambda w: (-counts[w], w))[:30]
-    assert sorted(model.vocab.index, key=model.vocab.index.get) == top
-    table3 = np.exp(model.table.reshape(64, 8).astype(float))
+def small_chunks(monkeypatch):
+    for name, value in {"CHUNK_DOCS": 7, "CHUNK_WORDS": 900, "BUCKET_KEYS": 200, "CLUSTERED": 20, "HOT": 6}.items():
+        monkeypatch.setattr(lm_scoring, name, value)
+
+
+@pytest.mark.parametrize("hot", [1, 6])
+def test_scores_equal_brute_force(table, odd_rows, monkeypatch, hot):
+    small_chunks(monkeypatch)
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    rows = odd_rows + [(100 + i, prose(i % 15, 60)) for i in range(20)] + [(200 + i, f"rare{i} word{i % 3} river") for i in range(5)]
+    trained = lm_scoring.train(table(rows), size=30, classes=10)
+    model, vocab = trained.model, trained.model.vocab
+    texts = [words_of((t or "").encode()) for _, t in rows]
+    counts = Counter(w for t in texts for w in t)
+    number = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[:30])}
+    assert vocab.words == list(number) and vocab.n_words == sum(counts.values())
+    table3 = np.exp(model.table.reshape(100, 10).astype(float))
     assert np.allclose(table3.sum(axis=1), 1, atol=1e-5)
-    for r in lm_scoring.score(df, model).collect():
-        if r.doc_id not in (None, 6):
-            w = words_of((dict(rows)[r.doc_id] or "").encode())
-            cls = [int(model.vocab.class_of[model.vocab.index.get(x, 30)]) for x in w]
-            s = sum(math.log(table3[(cls[i - 1] if i else 0) * 8 + (cls[i + 1] if i + 1 < len(w) else 0), cls[i]]) + model.vocab.log_share[model.vocab.index.get(x, 30)] for i, x in enumerate(w))
-            assert r.n_words == len(w) and r.log_likelihood == pytest.approx(s, abs=1e-3)
-            assert (r["mean"] is None) == (not w)
-    assert lm_scoring.score(df.where("false"), lm_scoring.train(df.where("false"))).count() == 0
-
-
-def test_training_prefers_the_order_of_words(table):
-    rows = [(i, " ".join(["red fish swim", "blue birds fly", "green frogs jump"][(i + j) % 3] for j in range(30))) for i in range(60)]
-    model = lm_scoring.train(table(rows), size=50, classes=12)
-    words = rows[0][1].split()
-    shuffled = words[:]
+    full, pair = Counter(), Counter()
+    windows = lambda t: [(t[i - 1] if i else None, w, t[i + 1] if i + 1 < len(t) else None) for i, w in enumerate(t)]
+    for t in texts:
+        full.update(windows(t))
+        pair.update((a, c) for a, _, c in windows(t))
+    rare = sum(n for w, n in counts.items() if w not in number)
+    class_of = lambda w: 0 if w is None else int(vocab.class_of[number.get(w, 30)])
+    share = lambda w: math.exp(vocab.log_share[number[w]]) if w in number else counts[w] / rare
+    assert sum(share(w) for w in number if class_of(w) == class_of(b"river")) == pytest.approx(1)
+    want = {}
+    for (i, _), t in zip(rows, texts):
+        network = [table3[class_of(a) * 10 + class_of(c), class_of(w)] * share(w) for a, w, c in windows(t)]
+        both = [(full[x] - 1 + lm_scoring.PRIOR * p) / (pair[x[0], x[2]] - 1 + lm_scoring.PRIOR) for x, p in zip(windows(t), network)]
+        want.setdefault(i, []).append((len(t), sum(map(math.log, both)), sum(map(math.log, network))))
+    got = {}
+    for r in lm_scoring.score(trained).collect():
+        got.setdefault(r.doc_id, []).append((r.n_words, r.log_likelihood, r.network))
+        assert (r["mean"] is None) == (r.n_words == 0)
+    assert got.keys() == want.keys()
+    for i in want:
+        assert np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-4, atol=1e-3), i
+
+
+def test_an_empty_table_has_no_scores(table, odd_rows):
+    assert lm_scoring.score(lm_scoring.train(table(odd_rows).where("false"))).count() == 0
+
+
+def test_the_network_and_the_windows_predict_better_than_frequencies(table, monkeypatch):
+    small_chunks(monkeypatch)
+    groups = [f"{a}{i}" for a in ("noun", "verb", "name") for i in range(12)]
+    r = random.Random(2)
+    line = lambda: " ".join(groups[12 * (j % 3) + r.randrange(12)] for j in range(60))
+    rows = [(i, line()) for i in range(80)]
+    shuffled = rows[0][1].split()
     random.Random(1).shuffle(shuffled)
-    assert model.score(" ".join(words).encode())[1] > model.score(" ".join(shuffled).encode())[1] + 10
+    rows += [(500, " ".join(shuffled)), (501, rows[5][1])]
+    got = {x.doc_id: x for x in lm_scoring.score(lm_scoring.train(table(rows), size=50, classes=12)).collect()}
+    # The learned classes see that the three kinds of words take turns: a third of the choices are left.
+    assert got[1].network / 60 > -math.log(12) - 0.4 and -math.log(36) < got[1]["mean"]
+    assert got[500].network < got[0].network - 30
+    # What stands twice in the corpus is predicted by its other copy.
+    assert got[5]["mean"] > got[6]["mean"] + 1 and got[5].log_likelihood == pytest.approx(got[501].log_likelihood)
 
 
 # ---- search ----
@@ -265,6 +357,30 @@ def test_search_equals_brute_force(table, monkeypatch, block):
         assert np.allclose([s for s, _ in got.get(q, [])], [s for s, _ in expected], atol=1e-6)
 
 
+def test_search_by_any_kind_of_id(spark):
+    rows = [(f"d{i:02}", prose(i % 7, 12)) for i in range(40)] + [(None, "river")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = topk_search.search(df, df.where("doc_id in ('d03', 'd20')"), 6).orderBy("query_id", "rank").collect()
+    assert [r.doc_id for r in got if r.query_id == "d03"] == ["d03", "d10", "d17", "d24", "d31", "d38"] and len(got) == 12
+
+
+def test_blocks_are_passed_over(monkeypatch):
+    """Two languages in one shard: a query reads the blocks of its own."""
+    words = [[f"{c}{i}" for i in range(200)] for c in "ab"]
+    docs = []
+    for i in range(1024):
+        r = random.Random(i)
+        terms, n = topk_search.terms_of(" ".join(["the", "der"][i % 2] if r.random() < 0.3 else r.choice(words[i % 2]) for _ in range(60)).encode())
+        docs.append((i, terms, n))
+    placed = topk_search._ordered(docs)
+    s = topk_search.Shard([d[0] for d in placed], {k: v.tobytes() for k, v in topk_search._packed(placed).items()}, 60.0)
+    q = topk_search.Queries(np.array([0, len(docs[4][1])]), *topk_search.Queries.numbered(docs[4][1]), np.ones(len(docs[4][1])), np.zeros(1))
+    best = [([], np.empty(0))]
+    place = np.searchsorted(s.types, q.types)
+    s.search(q, 0, 1, place, 10, best)
+    assert best[0][0][0] == 4 and all(i % 2 == 0 for i in best[0][0]) and s.blocks_read <= s.blocks_seen // 2
+
+
 def test_search_of_odd_and_empty_tables(table, odd_rows):
     df = table(odd_rows)
     assert topk_search.search(df, df.where("doc_id = 4")).first().doc_id == 4
