@@ -76,6 +76,10 @@ class Best:
             scores[(d[:, :, None] == self.docs[:, None, :]).any(axis=2)] = -np.inf
         self.scores, self.docs = _best(np.concatenate((self.scores, scores), axis=1), np.concatenate((self.docs, d), axis=1), self.k)
 
+    def add_rows(self, scores: np.ndarray, docs: np.ndarray) -> None:
+        """As add(), with documents of its own for each query, none of them added before."""
+        self.scores, self.docs = _best(np.concatenate((self.scores, scores), axis=1), np.concatenate((self.docs, docs), axis=1), self.k)
+
     def hits(self) -> Iterator[pa.RecordBatch]:
         n = self.scores.shape[1]
         real = (self.scores > -np.inf).ravel()

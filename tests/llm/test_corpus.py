@@ -423,3 +423,17 @@ def test_pipeline_stages(spark, table, tmp_path):
     whole = {(r.doc_id, r.start, r.length) for r in corpus_pipeline.run(spark, folder).collect()}
     assert whole == {(r.doc_id, r.start, r.length) for r in corpus_pipeline.STAGES[-1][1](spark, kept, folder).collect()}
     assert {i for i, _, _ in whole} == seen["pii"].keys()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    plain = lambda v: round(v, 5) if isinstance(v, float) else v
+    df = queries.QUERIES[name](spark, sf)
+    got = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in got.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted((tuple(plain(r[c]) for c in names) for r in df.collect()), key=str) == sorted((tuple(map(plain, r)) for r in got.fetchall()), key=str)
