@@ -32,6 +32,12 @@ def kmeans_centroids(corpus: DataFrame, k: int = 16, iterations: int = 25, seed:
     return corpus.sparkSession.createDataFrame(rows, "partition_id int, centroid array<double>")
 
 
+def fixed(centroids: DataFrame) -> DataFrame:
+    """The same centroids, computed once; there are at most MAX_CENTROIDS."""
+    ids, c = _centroids(centroids)
+    return centroids.sparkSession.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, c)], "partition_id int, centroid array<double>")
+
+
 def _centroids(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = table.orderBy("partition_id").limit(MAX_CENTROIDS + 1).collect()
     if len(rows) > MAX_CENTROIDS:

@@ -80,6 +80,16 @@ def remapped_qrels(qrels: DataFrame, queries: DataFrame, docs: DataFrame) -> tup
     return kept, known.agg(F.count_if(F.col("qidx").isNull() | F.col("idx").isNull()).alias("dropped"))
 
 
+def wrapped(qidx: Column, pool: int) -> Column:
+    """A request's query, whatever its number: counted around a pool of queries."""
+    return F.pmod(qidx, F.lit(pool))
+
+
+def remapped_hits(hits: DataFrame, ids: DataFrame) -> DataFrame:
+    """hits with local numbers as doc_id, named by ids (local, doc_id); numbers beyond the table fall away."""
+    return hits.withColumnRenamed("doc_id", "local").join(ids.select("local", "doc_id"), "local").drop("local")
+
+
 def _hash_limit(hashes: DataFrame, n: int, digits: int = 3, levels: int = 2) -> tuple[str, int]:
     """(prefix, m) for a column h of hex digits: the n smallest are all below the prefix, and the m smallest that begin with it.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import caches, dense, fusion, ivf, metrics, quantize, rerank, sparse, workload
+from ..operators import caches, dense, fusion, graph, ivf, metrics, quantize, rerank, sparse, workload
 from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,7 +60,7 @@ def _label_centroids(spark: SparkSession, d: str) -> DataFrame:
     parts = _table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     listed = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("l"))
-    return listed.select(F.col("label").alias("partition_id"), V.normalised(F.col("l.m")).alias("centroid"))
+    return ivf.fixed(listed.select(F.col("label").alias("partition_id"), V.normalised(F.col("l.m")).alias("centroid")))
 
 
 def _hits(h: DataFrame) -> DataFrame:
@@ -221,12 +221,18 @@ def r8_hamming_knn(spark: SparkSession, d: str) -> DataFrame:
     return _hits(quantize.hamming_knn(quantize.binary(_vectors(spark, d)), _asked(spark, d)))
 
 
+@query()
+def r2_graph_knn(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate search on neighbour graphs; tested for recall."""
+    return _hits(graph.search(graph.build(_vectors(spark, d)), _asked(spark, d)))
+
+
 @query()
 def r9_product_codes_knn(spark: SparkSession, d: str) -> DataFrame:
-    """Search on product codes; tested against brute force over the decoded vectors."""
-    c = _vectors(spark, d)
-    codes = quantize.ProductCodes.train(c, m=8, bits=6)
-    return _hits(codes.knn(codes.encode(c), _asked(spark, d)))
+    """The hundred best by product codes, rescored; tested for recall, and the codes against brute force over the decoded vectors."""
+    c, q = _vectors(spark, d), _asked(spark, d)
+    codes = quantize.ProductCodes.train(c, m=16, bits=8)
+    return _hits(dense.rescore(codes.knn(codes.encode(c), q, 100), c, q, 100))
 
 
 @query(f"WITH {_KNN}, {_top_sql(_HAMMING, 'dense', 50, 'coarse')}, {_top_sql('SELECT qid, doc_id, list_dot_product(q.v, e.v) AS score FROM coarse JOIN q USING (qid) JOIN e USING (doc_id)', 'dense')} {_OUT}")
@@ -434,6 +440,19 @@ def t5_zipf_workload(spark: SparkSession, d: str) -> DataFrame:
     return workload.zipf(spark, 10_000, pool, 1.0).groupBy("qidx").agg(F.count("*").alias("requests"))
 
 
+@query("SELECT event_id, user_id % 40 AS qidx FROM events")
+def p19_wrapped(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "events").select("event_id", workload.wrapped(F.col("user_id"), 40).alias("qidx"))
+
+
+@query(f"WITH {_KNN}, {_top_sql(_DOT, 'dense', 20)} SELECT qid, hits.doc_id // 2 AS doc_id, round(score, 6) AS score, rank FROM hits WHERE hits.doc_id < 300")
+def f6_remapped_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits with local numbers, renamed by a table that ends before some of them."""
+    ids = spark.range(300).select(F.col("id").alias("local"), F.floor(F.col("id") / 2).cast("long").alias("doc_id"))
+    hits = workload.remapped_hits(dense.flat_knn(_vectors(spark, d), _asked(spark, d), 20), ids)
+    return hits.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, lang FROM documents")
 def k1_numbered_corpus(spark: SparkSession, d: str) -> DataFrame:
     return workload.contiguous(_table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select("idx", "doc_id", "lang")

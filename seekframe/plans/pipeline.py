@@ -3,7 +3,7 @@
 Configuration (a mapping, as read from YAML or JSON; all parts but name are optional):
 
     name: hybrid
-    dense: {index: flat | ivf, metric: ip | l2, partitions, overlap, nprobe, adaptive_gap}
+    dense: {index: flat | ivf | graph, metric: ip | l2, partitions, overlap, nprobe, adaptive_gap, m, ef}
     sparse: {k1, b, epsilon, fill_zero}
     fusion: {type: rrf | weighted, k, w_dense, w_sparse}
     rescoring: {candidates: 100}
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import query_key
-from ..operators import dense, fusion, ivf, rerank, sparse
+from ..operators import dense, fusion, graph, ivf, rerank, sparse
+from ..session import stored
 
 OFF = (None, False, "none", {})
 
@@ -39,8 +40,22 @@ def checked(config: dict) -> dict:
 
 
 def config_hash(config: dict) -> str:
-    """First 16 hex digits of the SHA-256 of the configuration with sorted keys."""
-    return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]
+    """First 16 hex digits of the SHA-256 of the configuration as YAML with sorted keys (JSON where there is no YAML library)."""
+    try:
+        import yaml
+    except ImportError:
+        text = json.dumps(config, sort_keys=True)
+    else:
+        text = yaml.safe_dump(config, sort_keys=True)
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def required(queries: DataFrame, *columns: str) -> DataFrame:
+    """queries, if every row has these; else ValueError. For calls of single queries, where leaving a row out would hide a mistake."""
+    for c in columns:
+        if queries.where(F.col(c).isNull()).limit(1).count():
+            raise ValueError(f"a query has no {c}")
+    return queries
 
 
 def distinct_queries(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,6 +73,7 @@ class Pipeline:
     passages: DataFrame | None = None  # doc_id, text
     centroids: DataFrame | None = None
     scorer: Callable = rerank.lexical_overlap
+    graph: DataFrame | None = None  # shards of operators.graph
 
     def __post_init__(self) -> None:
         self.config = checked(self.config)
@@ -67,14 +83,22 @@ class Pipeline:
         metric = c.get("metric", "ip")
         if c.get("index", "flat") == "flat":
             return dense.flat_knn(self.corpus, queries, k, metric)
+        if c["index"] == "graph":
+            if self.graph is None:
+                self.graph = stored(graph.build(self.corpus, c.get("m", graph.M), metric))
+            return graph.search(self.graph, queries, k, c.get("ef", graph.EF), metric)
+        if c["index"] != "ivf":
+            raise ValueError(f"no such index: {c['index']}")
         if self.centroids is None:
             self.centroids = ivf.kmeans_centroids(self.corpus, c.get("partitions", 16))
         assigned = ivf.assign(self.corpus, self.centroids, c.get("overlap", 1), metric)
         return ivf.search(assigned, queries, ivf.route(queries, self.centroids, c.get("nprobe", 8), c.get("adaptive_gap"), metric), k, metric)
 
-    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """Hits (qid, doc_id, score, rank, source) of queries (qid, text, vector)."""
+    def search(self, queries: DataFrame, k: int = 10, strict: bool = False) -> DataFrame:
+        """Hits (qid, doc_id, score, rank, source) of queries (qid, text, vector). strict: a query that lacks what a retriever needs raises."""
         c = self.config
+        if strict:
+            required(queries, *(["vector"] if "dense" in c else []), *(["text"] if "sparse" in c else []))
         if "cache" in c and c["cache"].get("exact"):
             asked, members = distinct_queries(queries)
             hits = self._search(asked, k).withColumnRenamed("qid", "rep")

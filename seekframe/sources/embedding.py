@@ -14,13 +14,18 @@ from .readers import valid_vectors
 CHUNK = 100_000
 
 
-def embed(passages: DataFrame, encode: Callable[[list[str]], np.ndarray], dim: int, batch: int = 256) -> DataFrame:
-    """(doc_id, vector) of passages (doc_id, text): normalised vectors, `batch` texts at a time."""
+def embed(passages: DataFrame, encode: Callable[[list[str]], np.ndarray], dim: int, batch: int = 256, before: Callable[[], object] | None = None) -> DataFrame:
+    """(doc_id, vector) of passages (doc_id, text): normalised vectors, `batch` texts at a time.
+
+    `before` is called before each batch, such as sources.system.wait_for_room.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, batch):
                 part = b.slice(at, batch)
+                if before is not None:
+                    before()
                 v = np.asarray(encode([t or "" for t in part.column(1).to_pylist()]), dtype=np.float32).reshape(-1, dim)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(v), pa.list_(pa.float32()))], names=["doc_id", "vector"])

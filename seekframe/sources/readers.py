@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,20 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, doc_id long, vector array<float>")
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A pipeline's configuration from YAML or JSON, a mapping with a name; from any store that Spark reads."""
+    text = bytes(spark.read.format("binaryFile").load(path).first().content).decode()
+    try:
+        import yaml
+    except ImportError:
+        found = json.loads(text)
+    else:
+        found = yaml.safe_load(text)
+    if not isinstance(found, dict) or "name" not in found:
+        raise ValueError(f"{path} must be a mapping with a name")
+    return found
+
+
 def valid_vectors(vectors: DataFrame, dim: int) -> DataFrame:
     """Rows whose vector has the right length and no missing value."""
     return vectors.where((F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))

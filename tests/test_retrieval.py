@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from seekframe.operators import dense, fusion, ivf, quantize, rerank, sparse
 from seekframe.plans import pipeline
@@ -178,3 +179,82 @@ def test_exact_cache_searches_a_text_once(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     found = lists(pipeline.Pipeline({"name": "c", "sparse": {"b": 0.75}, "cache": {"exact": True}}, passages=docs).search(q))
     assert found[1] == found[2] and 3 not in found
+
+
+def test_graph_search(spark, corpus, asked, tmp_path):
+    from seekframe.operators import graph
+
+    for metric in ("ip", "l2"):
+        shards = graph.build(corpus, 6, metric, shard=50)
+        found, exact = lists(graph.search(shards, asked, 10, 40, metric)), lists(dense.flat_knn(corpus, asked, 10, metric))
+        assert np.mean([len(set(found[q]) & set(exact[q])) / 10 for q in exact]) >= 0.9
+    graph.save(shards, str(tmp_path / "g"), 6, 40, "l2")
+    assert lists(graph.search_saved(spark, str(tmp_path / "g"), asked)) == found
+    r = graph.stats(spark.read.parquet(str(tmp_path / "g/shards"))).first()
+    assert r.n == 120 and r.bytes > 0
+    one = corpus.where("doc_id = 3")
+    assert lists(graph.search(graph.build(one), asked.where("qid = 0"), 5)) == {0: [3]}
+    assert graph.search(graph.build(corpus.where("false")), asked, 5).count() == 0
+
+
+def test_recall_at_the_registered_settings(spark, sf):
+    from seekframe.plans import catalog
+
+    exact = lists(catalog.QUERIES["r1_flat_knn"](spark, sf))
+    for name in ("r2_ann_kmeans", "r2_graph_knn", "r9_product_codes_knn"):
+        found = lists(catalog.QUERIES[name](spark, sf))
+        assert np.mean([len(set(found.get(q, [])) & set(exact[q])) / 10 for q in exact]) >= 0.9, name
+
+
+def test_partition_search_by_distance_and_over_batches(spark, corpus, asked):
+    cents = ivf.kmeans_centroids(corpus, 8)
+    exact = lists(dense.flat_knn(corpus, asked, 10, "l2"))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a vector's partitions come in different batches
+    try:
+        found = lists(ivf.search(ivf.assign(corpus, cents, 3, "l2"), asked, ivf.route(asked, cents, 8, metric="l2"), 10, "l2", block=5))
+        assert found == exact
+        few = lists(ivf.search(ivf.assign(corpus, cents, 2, "l2"), asked, ivf.route(asked, cents, 5, metric="l2"), 10, "l2"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert np.mean([len(set(few[q]) & set(exact[q])) / 10 for q in exact]) >= 0.9
+
+
+def test_strict_calls_and_unknown_indexes_raise(spark, corpus, asked):
+    p = pipeline.Pipeline({"name": "g", "dense": {"index": "graph"}}, corpus)
+    rows = asked.withColumn("text", F.lit(None).cast("string"))
+    assert lists(p.search(rows, 3)).keys() == lists(dense.flat_knn(corpus, asked, 3)).keys()
+    with pytest.raises(ValueError):
+        p.search(rows.withColumn("vector", F.lit(None).cast("array<double>")), 3, strict=True)
+    with pytest.raises(ValueError):
+        pipeline.Pipeline({"name": "g", "dense": {"index": "tree"}}, corpus).search(rows, 3)
+
+
+def test_requests_as_a_stream(spark, corpus, asked, tmp_path):
+    import json
+    import time
+
+    from seekframe.streaming import service
+
+    pool = asked.select(F.col("qid").alias("qidx"), F.lit(None).cast("string").alias("text"), F.col("vector").cast("array<float>").alias("vector"))
+    p = pipeline.Pipeline({"name": "flat", "dense": {"index": "flat"}}, corpus)
+    (tmp_path / "in").mkdir()
+    lines = [{"request": 7, "qidx": 3}, {"request": 8, "qidx": 15, "k": 2}, {"request": 9}, "no json"]
+    (tmp_path / "in" / "a").write_text("".join((x if isinstance(x, str) else json.dumps(x)) + "\n" for x in lines))
+    service.serve(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), p.search, pool, 5).awaitTermination(120)
+    got = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    by = {x.get("request"): x for x in got}
+    exact = lists(dense.flat_knn(corpus, asked, 5))
+    assert [h["doc_id"] for h in by[7]["hits"]] == exact[3] and [h["doc_id"] for h in by[8]["hits"]] == exact[3][:2]
+    assert "error" in by[9] and "error" in by[None] and len(got) == 4
+    stream = service.load(spark, 50, 4, str(tmp_path / "load"), str(tmp_path / "cp2"))
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if (tmp_path / "load" / "_spark_metadata").exists() and spark.read.text(str(tmp_path / "load")).count():
+                break
+    finally:
+        stream.stop()
+    assert {json.loads(r.value)["qidx"] for r in spark.read.text(str(tmp_path / "load")).collect()} <= {0, 1, 2, 3}
+    took = service.closed_loop(lambda q: 1 / q, [1, 0], 1000.0)
+    assert [ok for _, _, ok in took] == [True, False]
