@@ -2,7 +2,7 @@
 
 A word is the mean of the vectors of its character n-grams (hashed to `BUCKETS`) and of
 itself, so a misspelling not seen in training shares most of its vector with the word it
-comes from. The words of a window of `WINDOW` words are averaged, and a linear softmax
+comes from. The words of a window of `WINDOW` words, wherever it starts, are averaged, and a linear softmax
 over (clean, toxic) reads the average. A text's logit is that of its most toxic window:
 one sentence counts as much in a long text as in a short one. Vectors and softmax are
 trained jointly in numpy: first all windows carry their text's label, then only the
@@ -84,8 +84,12 @@ class WordScores(dict):
         return v
 
 
-def window_starts(n: int) -> np.ndarray:
-    return np.arange(0, max(n, 1), WINDOW)
+def window_sums(values: np.ndarray) -> np.ndarray:
+    """Sums over all runs of WINDOW values; over all of them if there are fewer."""
+    if len(values) <= WINDOW:
+        return values.sum(keepdims=True)
+    until = np.concatenate(([0.0], np.cumsum(values)))
+    return until[WINDOW:] - until[:-WINDOW]
 
 
 def score_text(text: str, bias: float, words: WordScores) -> float:
@@ -94,10 +98,8 @@ def score_text(text: str, bias: float, words: WordScores) -> float:
         z = bias
     else:
         values = np.fromiter(map(words.__getitem__, found), dtype=np.float64, count=len(found))
-        # A last, short window is averaged over half a window at least, so a few words don't decide alone.
-        starts = window_starts(len(found))
-        size = np.minimum(WINDOW, len(found) - starts)
-        z = bias + float((np.add.reduceat(values, starts) / np.maximum(size, WINDOW // 2)).max())
+        # Fewer words than a window are averaged over half a window at least, so one or two don't decide alone.
+        z = bias + float(window_sums(values).max()) / max(min(WINDOW, len(found)), WINDOW // 2)
     return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
@@ -107,15 +109,16 @@ def fit(texts: list[str], labels: list[int], rounds: int = 240, rate: float = 1.
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), -math.inf)
     vocabulary: dict[str, int] = {}
-    tokens, starts, sizes, window_doc = array("i"), array("i"), array("i"), array("i")
+    tokens, starts, window_doc = array("i"), array("i"), array("i")
     for d, t in enumerate(texts):
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in _WORD.findall(t.lower())]
         if ids:
-            s = window_starts(len(ids))
-            starts.extend((s + len(tokens)).tolist())
-            sizes.extend(np.maximum(np.minimum(WINDOW, len(ids) - s), WINDOW // 2).tolist())
-            window_doc.extend([d] * len(s))
+            n = max(len(ids) - WINDOW + 1, 1)
+            starts.extend(range(len(tokens), len(tokens) + n))
+            window_doc.extend([d] * n)
             tokens.extend(ids)
+            # Texts of fewer words than a window are filled up with a word that is none.
+            tokens.extend([-1] * (WINDOW - len(ids)))
     if not tokens:
         return Model(np.zeros(BUCKETS), -math.inf)
     flat, counts = array("i"), array("i")
@@ -124,11 +127,11 @@ def fit(texts: list[str], labels: list[int], rounds: int = 240, rate: float = 1.
         flat.extend(g)
         counts.append(len(g))
     tokens_, starts_, doc_of = (np.frombuffer(x, dtype=np.int32) for x in (tokens, starts, window_doc))
-    sizes_ = np.frombuffer(sizes, dtype=np.int32).astype(np.float64)
+    within = tokens_[starts_[:, None] + np.arange(WINDOW, dtype=np.int32)]
+    sizes = np.maximum((within >= 0).sum(axis=1), WINDOW // 2).astype(np.float64)
     gram, n_grams_int = np.frombuffer(flat, dtype=np.int32), np.frombuffer(counts, dtype=np.int32)
     n_grams = n_grams_int.astype(np.float64)
     gram_starts = np.concatenate(([0], np.cumsum(n_grams_int)[:-1]))
-    window_of_token = np.repeat(np.arange(len(starts_), dtype=np.int32), np.diff(np.concatenate((starts_, [len(tokens_)]))))
     class_weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
 
     rng = np.random.default_rng(seed)
@@ -137,14 +140,21 @@ def fit(texts: list[str], labels: list[int], rounds: int = 240, rate: float = 1.
     bias = np.zeros(2)
     seen = [0.0, 0.0, 0.0]
     per_doc_windows = np.bincount(doc_of, minlength=len(y))
-    window_end = np.concatenate((starts_[1:], [len(tokens_)]))
+    # doc_of ascends: where each text's windows start.
+    doc_starts = np.unique(doc_of, return_index=True)[1]
+    n_words = len(vocabulary)
 
-    def forward(token: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def forward(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
         word = np.add.reduceat((vectors @ (softmax[1] - softmax[0]))[gram], gram_starts) / n_grams
-        return bias[1] - bias[0] + np.add.reduceat(word[token], start) / size
-
-    def step(delta: np.ndarray, token: np.ndarray, window_of: np.ndarray, size: np.ndarray, rate: float) -> None:
-        by_word = np.bincount(token, weights=(delta / size)[window_of], minlength=len(vocabulary)) / n_grams
+        word = np.append(word, 0.0)  # the word that is none
+        z = word[rows[:, 0]].copy()
+        for i in range(1, WINDOW):
+            z += word[rows[:, i]]
+        return bias[1] - bias[0] + z / size
+
+    def step(delta: np.ndarray, rows: np.ndarray, size: np.ndarray, rate: float) -> None:
+        share = delta / size
+        by_word = sum(np.bincount(np.where(rows[:, i] < 0, n_words, rows[:, i]), weights=share, minlength=n_words + 1) for i in range(WINDOW))[:n_words] / n_grams
         by_gram = np.bincount(gram, weights=np.repeat(by_word, n_grams_int), minlength=BUCKETS)
         grad_s = by_gram @ vectors
         grads = (by_gram[:, None] * (softmax[1] - softmax[0]), np.stack([-grad_s, grad_s]), np.array([-delta.sum(), delta.sum()]))
@@ -157,27 +167,34 @@ def fit(texts: list[str], labels: list[int], rounds: int = 240, rate: float = 1.
     def error(z: np.ndarray, docs: np.ndarray) -> np.ndarray:
         return (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[docs]) * class_weight[docs]
 
+    def first_best(z: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Of each text's windows (begin: where they start) the first with the highest z; none if all are out."""
+        most = np.maximum.reduceat(z, begin)
+        of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(z))))
+        at = np.flatnonzero((z == most[of]) & (z > -np.inf))
+        return at[np.unique(of[at], return_index=True)[1]]
+
     # Few texts need more of these steps to tell which windows decide.
     for _ in range(min(max(30_000 // len(texts), 15), 150)):
-        z = forward(tokens_, starts_, sizes_)
-        step(error(z, doc_of) / per_doc_windows[doc_of], tokens_, window_of_token, sizes_, rate)
+        z = forward(within, sizes)
+        step(error(z, doc_of) / per_doc_windows[doc_of], within, sizes, rate)
     for left in range(rounds, 0, -REFRESH):
-        # Of each text, the windows that may decide in the next steps; found anew from all its windows.
-        z = forward(tokens_, starts_, sizes_)
-        order = np.lexsort((-z, doc_of))
-        rank = np.arange(len(order)) - np.searchsorted(doc_of[order], doc_of[order])
-        active = np.sort(order[rank < ACTIVE])
-        lengths = window_end[active] - starts_[active]
-        begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        token = tokens_[np.repeat(starts_[active] - begin, lengths) + np.arange(lengths.sum())]
-        docs, size, window_of = doc_of[active], sizes_[active], np.repeat(np.arange(len(active)), lengths)
+        # Of each text, windows that may decide in the next steps and don't overlap; found anew from all its windows.
+        z = forward(within, sizes)
+        active = []
+        for _ in range(ACTIVE):
+            active.append(first_best(z, doc_starts))
+            near = (active[-1][:, None] + np.arange(1 - WINDOW, WINDOW)).clip(0, len(z) - 1)
+            z[near[doc_of[near] == doc_of[active[-1]][:, None]]] = -np.inf
+        at = np.sort(np.concatenate(active))
+        rows, docs, size = within[at], doc_of[at], sizes[at]
+        begin = np.unique(docs, return_index=True)[1]
         for _ in range(min(left, REFRESH)):
-            z = forward(token, begin, size)
-            order = np.lexsort((-z, docs))
-            top = order[np.unique(docs[order], return_index=True)[1]]
+            z = forward(rows, size)
+            top = first_best(z, begin)
             delta = np.zeros(len(z))
             delta[top] = error(z[top], docs[top])
-            step(delta, token, window_of, size, rate * left / rounds)
+            step(delta, rows, size, rate * left / rounds)
     weight = vectors @ (softmax[1] - softmax[0])
     weight[np.setdiff1d(np.arange(BUCKETS), gram)] = 0.0
     return Model(weight, float(bias[1] - bias[0]))
