@@ -21,7 +21,7 @@ numbers, on which it is trained in numpy on the driver, full batches with a fixe
 
 Scale. Texts are split twice, once to count words and once into chunks of word numbers,
 which are written to the shared folder; all further passes read chunks. Each chunk sends
-every distinct window (and rarer word) once, with its count, as sorted numbers of 64 bits in about
+every distinct window (and rarer word) once, with its count, as sorted numbers (whose bits grow with the corpus) in about
 as many buckets as hold `BUCKET_KEYS`; a bucket adds up and sends the sums back to the
 chunk. So a window that stands in a third of all documents is one number from each chunk.
 Two neighbours that are both among the `HOT` most frequent words have many different words
@@ -45,6 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .common import narrow, shared, words_of
 
 VOCABULARY, CLASSES, BANDS, HIDDEN = 32_768, 96, 24, 48
@@ -56,7 +57,8 @@ FLUSH = 200_000
 #: Numbers of classes. As a word's number, RARE_WORD stands for all words without one.
 EDGE, RARE = 0, 1
 RARE_WORD = 65_535
-KEY_BITS, WORD_BITS = 64, 18
+#: Of a window's key the bits for the word; the bits for its neighbours beyond those that count the corpus' words (one pair in 2**SPARE_BITS meets another), and how many these are at least.
+WORD_BITS, SPARE_BITS, LEAST_BITS, RARE_BITS = 20, 10, 36, 48
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -130,7 +132,7 @@ def _numbers(planes: bytes, kind: type, n: int) -> np.ndarray:
 
 
 def chunks(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """One row for each run of documents: chunk, ids, ptr (where each text starts), n, words (their numbers), rare (hashes of the words without one)."""
+    """One row for each run of documents: chunk, ids, ptr (where each text starts), words (n numbers), rare (hashes of the n_rare words without one)."""
     kind = rows.schema["doc_id"].dataType.simpleString()
     words = vocab.words
 
@@ -142,15 +144,15 @@ def chunks(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
         def out(id_type: pa.DataType) -> pa.RecordBatch:
             ptr = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
             numbers = np.concatenate(parts)
-            row = [pa.array([ids], pa.list_(id_type)), *(pa.array([x], pa.binary()) for x in (ptr.tobytes(), _planes(numbers), np.array(rare, dtype=np.uint64).tobytes())), pa.array([len(numbers)])]
-            return pa.RecordBatch.from_arrays(row, names=["ids", "ptr", "words", "rare", "n"])
+            row = [pa.array([ids], pa.list_(id_type)), *(pa.array([x], pa.binary()) for x in (ptr.tobytes(), _planes(numbers), _planes(np.array(rare, dtype=np.uint64)))), pa.array([len(numbers)]), pa.array([len(rare)])]
+            return pa.RecordBatch.from_arrays(row, names=["ids", "ptr", "words", "rare", "n", "n_rare"])
 
         held = 0
         for b in batches:
             for i, t in zip(b.column(0), b.column(1).cast(pa.binary())):
                 text = words_of(t.as_py())
                 numbers = np.fromiter((index(w, RARE_WORD) for w in text), dtype=np.uint16, count=len(text))
-                rare.extend([digest(text[j]) for j in np.flatnonzero(numbers == RARE_WORD).tolist()])
+                rare.extend([digest(text[j]) >> (64 - RARE_BITS) for j in np.flatnonzero(numbers == RARE_WORD).tolist()])
                 ids.append(i.as_py())
                 sizes.append(len(text))
                 parts.append(numbers)
@@ -161,7 +163,7 @@ def chunks(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
         if ids:
             yield out(b.column(0).type)
 
-    made = rows.mapInArrow(run, f"ids array<{kind}>, ptr binary, words binary, rare binary, n long")
+    made = rows.mapInArrow(run, f"ids array<{kind}>, ptr binary, words binary, rare binary, n long, n_rare long")
     return shared(made.withColumn("chunk", F.monotonically_increasing_id()))
 
 
@@ -170,8 +172,8 @@ class Chunk:
 
     EDGE_WORD = RARE_WORD - 1
 
-    def __init__(self, ptr: bytes, words: bytes, rare: bytes, n: int):
-        self.ptr, self.rare = np.frombuffer(ptr, dtype=np.int64), np.frombuffer(rare, dtype=np.uint64)
+    def __init__(self, ptr: bytes, words: bytes, rare: bytes, n: int, n_rare: int):
+        self.ptr, self.rare = np.frombuffer(ptr, dtype=np.int64), _numbers(rare, np.uint64, n_rare)
         self.words = _numbers(words, np.uint16, n).astype(np.int64)
         self.left, self.right = self.beside(self.words, self.EDGE_WORD)
 
@@ -185,7 +187,7 @@ class Chunk:
         return left, right
 
 
-_COLUMNS = ("ptr", "words", "rare", "n")
+_COLUMNS = ("ptr", "words", "rare", "n", "n_rare")
 
 
 def _sums(parts: DataFrame, size: int, count) -> np.ndarray:
@@ -195,7 +197,7 @@ def _sums(parts: DataFrame, size: int, count) -> np.ndarray:
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
             for row in range(b.num_rows):
-                total += np.bincount(count(Chunk(*(b.column(c)[row].as_py() for c in range(4)))), minlength=size)
+                total += np.bincount(count(Chunk(*(b.column(c)[row].as_py() for c in range(len(_COLUMNS))))), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
 
@@ -307,10 +309,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _keys(c: Chunk, hashes: np.ndarray, hot_words: int) -> tuple[np.ndarray, np.ndarray]:
+def _keys(c: Chunk, hashes: np.ndarray, hot_words: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(key of each word's window, place in hot_pairs or -1). Keys of windows with the same neighbours share their first bits, but for hot pairs.
 
-    hashes: by number, of the words of the vocabulary, then of a text's end.
+    hashes: by number, of the words of the vocabulary, then of a text's end. bits: of a key.
     """
     h = hashes[np.minimum(c.words, len(hashes) - 1)]
     h[c.words == RARE_WORD] = c.rare
@@ -321,13 +323,13 @@ def _keys(c: Chunk, hashes: np.ndarray, hot_words: int) -> tuple[np.ndarray, np.
     hot = np.where((a >= 0) & (b >= 0), a * hot_words + b, -1)
     word = _mixed(pair ^ h)
     pair = np.where(hot >= 0, _mixed(pair + word), pair)
-    return (pair >> np.uint64(64 - KEY_BITS + WORD_BITS) << np.uint64(WORD_BITS)) | (word >> np.uint64(64 - WORD_BITS)), hot
+    return (pair >> np.uint64(64 - bits + WORD_BITS) << np.uint64(WORD_BITS)) | (word >> np.uint64(64 - WORD_BITS)), hot
 
 
-def _own_keys(c: Chunk, hashes: np.ndarray, hot_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _own_keys(c: Chunk, hashes: np.ndarray, hot_words: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys of windows and rare words, their counts, the place of each word's window and then of each rare word in them, hot pairs)."""
-    windows, hot = _keys(c, hashes, hot_words)
-    rare = _mixed(c.rare ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - KEY_BITS)
+    windows, hot = _keys(c, hashes, hot_words, bits)
+    rare = _mixed(c.rare ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - bits)
     keys, place, n = np.unique(np.concatenate((windows, rare)), return_inverse=True, return_counts=True)
     return keys, n, place, hot
 
@@ -340,16 +342,21 @@ def _bucket_bits(n_words: int) -> int:
     return max(n_words // BUCKET_KEYS, 1).bit_length()
 
 
+def _key_bits(n_words: int) -> int:
+    return min(max(n_words.bit_length() + SPARE_BITS, LEAST_BITS) + WORD_BITS, 64)
+
+
 def window_sums(parts: DataFrame, model: Model) -> DataFrame:
     """(chunk, sums array<struct<bucket, n, same, pair>>): for each chunk's keys in order, how often they and all keys of their pair occur in the corpus."""
-    shift = np.uint64(KEY_BITS - _bucket_bits(model.vocab.n_words))
+    bits = _key_bits(model.vocab.n_words)
+    shift = np.uint64(bits - _bucket_bits(model.vocab.n_words))
     words, hot_words = model.vocab.words, model.hot
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _word_hashes(words)
         for b in batches:
             for row in range(b.num_rows):
-                keys, n, _, _ = _own_keys(Chunk(*(b.column(c + 1)[row].as_py() for c in range(4))), hashes, hot_words)
+                keys, n, _, _ = _own_keys(Chunk(*(b.column(c + 1)[row].as_py() for c in range(len(_COLUMNS)))), hashes, hot_words, bits)
                 buckets, starts = np.unique(keys >> shift, return_index=True)
                 ends = [*starts[1:].tolist(), len(keys)]
                 cut = [(keys[s:e], n[s:e]) for s, e in zip(starts.tolist(), ends)]
@@ -384,7 +391,7 @@ class Trained:
 
 def train(df: DataFrame, size: int = VOCABULARY, classes: int = CLASSES, id_col: str = "doc_id", text_col: str = "text") -> Trained:
     rows = narrow(df, id_col, text_col)
-    vocab = vocabulary(shared(word_counts(rows)), size)
+    vocab = vocabulary(stored(word_counts(rows)), size)
     parts = chunks(rows, vocab)
     vocab = learn_classes(parts, vocab, classes)
     class_of = vocab.class_of
@@ -403,17 +410,18 @@ def train(df: DataFrame, size: int = VOCABULARY, classes: int = CLASSES, id_col:
 def score(trained: Trained) -> DataFrame:
     """(doc_id, n_words, log_likelihood, network, mean, perplexity) of each document of the corpus; network is the sum by the network alone."""
     model, parts = trained.model, trained.parts
+    bits = _key_bits(model.vocab.n_words)
     kind = parts.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _word_hashes(model.vocab.words)
         for b in batches:
             for row in range(b.num_rows):
-                c = Chunk(*(b.column(i + 1)[row].as_py() for i in range(4)))
+                c = Chunk(*(b.column(i + 1)[row].as_py() for i in range(len(_COLUMNS))))
                 size = np.diff(c.ptr)
                 of = np.repeat(np.arange(len(size)), size)
-                _, _, place, hot = _own_keys(c, hashes, model.hot)
-                sums = b.column(5)[row].as_py() or []
+                _, _, place, hot = _own_keys(c, hashes, model.hot, bits)
+                sums = b.column(len(_COLUMNS) + 1)[row].as_py() or []
                 same, pair = (np.concatenate([_numbers(s[name], np.uint64, s["n"]) for s in sums] or [np.empty(0, np.uint64)]).astype(np.float64)[place] for name in ("same", "pair"))
                 n = len(c.words)
                 network = model.network(c, same[n:] / max(model.vocab.n_rare, 1))
