@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared, shared_folder, stored
+
+__all__ = ["documents", "is_empty", "narrow", "running_starts", "shared", "shared_folder", "stored", "text_or_empty", "words_of"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -22,20 +24,6 @@ def narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests on one machine) a temporary one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seekframe-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def shared(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there; its lineage ends with the files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 

@@ -45,8 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
-from .common import narrow, shared, words_of
+from .common import narrow, shared, stored, words_of
 
 VOCABULARY, CLASSES, BANDS, HIDDEN = 32_768, 96, 24, 48
 CLUSTERED, HOT = 8192, 64

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,13 @@ WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -23,12 +29,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER))
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer(WORD_TOKENIZER))
 
 
 def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same packing where all three limits count: turns of conversations, of which only the assistant's tokens bear loss."""
-    done = packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), public_tokenizers.path(WORD_TOKENIZER))
+    done = packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"), tokenizer(WORD_TOKENIZER))
     turn = F.from_json("doc_id", "conv_id long, turn long")
     return done.select(turn["conv_id"].alias("conv_id"), turn["turn"].alias("turn"), "start", "length", "loss", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -44,7 +50,7 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.digests(documents(spark, sf_dir), public_tokenizers.path(PIECE_MODEL))
+    return piece_codec.digests(documents(spark, sf_dir), tokenizer(PIECE_MODEL))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

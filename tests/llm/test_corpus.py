@@ -394,7 +394,10 @@ def test_search_of_odd_and_empty_tables(table, odd_rows):
 def test_registered_query_gives_its_whole_table(spark, sf, name):
     got = queries.QUERIES[name](spark, sf)
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
-    if name.startswith("op8"):
+    if name == "packing_conversations":
+        turns = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn")
+        assert got.select("conv_id", "turn").distinct().count() == turns.distinct().count()
+    elif name.startswith("op8"):
         assert got.select("query_id").distinct().count() == len(range(0, n, 50))
     else:
         assert got.select("doc_id").distinct().count() == n
@@ -403,7 +406,9 @@ def test_registered_query_gives_its_whole_table(spark, sf, name):
 def test_pipeline_stages(spark, table, tmp_path):
     rows, labels = labelled(240)
     shared_passage = " ".join(prose(7000 + i, 12).replace(".", "").capitalize() + "." for i in range(6))
-    rows = [(i, t) for i, t in rows] + [(500, rows[1][1]), (501, "Amber quiet lantern. " + shared_passage), (502, "Cedar meadow copper. " + shared_passage), (503, "mail me at someone@example.com please"), (504, ""), (505, None)]
+    # 501 and 502 share a passage of 72 words, not enough to be near copies; 506 is one of 501.
+    own = [prose(8000 + i, 40).replace(".", ",") + ". " for i in range(2)]
+    rows = [(i, t) for i, t in rows] + [(500, rows[1][1]), (501, own[0] + shared_passage), (502, own[1] + shared_passage), (506, own[0] + "And " + shared_passage), (503, "mail me at someone@example.com please"), (504, ""), (505, None)]
     folder = str(tmp_path / "sf")
     docs = table(rows).select(*corpus_pipeline.COLUMNS)
     docs.write.parquet(f"{folder}/documents.parquet")
@@ -417,14 +422,38 @@ def test_pipeline_stages(spark, table, tmp_path):
         seen[name] = {r.doc_id: r.text for r in kept.collect()}
     clean = {i for i, _ in rows if i >= 500 or i % 4}
     assert len(seen["toxicity"].keys() & clean) >= 0.97 * len(clean) and sum(i not in seen["toxicity"] for i in range(0, 240, 4)) >= 55
-    assert 500 not in seen["near_dedup"] and 1 in seen["near_dedup"] and 502 in seen["near_dedup"]
-    assert shared_passage in seen["substring_dedup"][501] and len(seen["substring_dedup"][502]) < 40
+    assert 500 not in seen["near_dedup"] and 1 in seen["near_dedup"] and 502 in seen["near_dedup"] and 506 not in seen["near_dedup"]
+    assert shared_passage in seen["substring_dedup"][501] and seen["substring_dedup"][502] == own[1]
     assert seen["pii"][503] == "mail me at [EMAIL] please" and seen["pii"].keys() == seen["near_dedup"].keys()
     whole = {(r.doc_id, r.start, r.length) for r in corpus_pipeline.run(spark, folder).collect()}
     assert whole == {(r.doc_id, r.start, r.length) for r in corpus_pipeline.STAGES[-1][1](spark, kept, folder).collect()}
     assert {i for i, _, _ in whole} == seen["pii"].keys()
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, table, odd_rows, tmp_path):
+    rows = odd_rows + [(None, None), (20, "Long. " + prose(11, 40_000)), (21, "Short line.\n" * 3)]
+    for name, docs in (("odd", table(rows)), ("empty", table(rows).where("false"))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")  # with extra columns, some of them named as operators' own
+        spark.createDataFrame([(1, 1, None), (77, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            kept = f(spark, kept, folder)
+            assert tuple(kept.columns) == corpus_pipeline.COLUMNS
+            kept.write.parquet(f"{folder}/{stage}")
+            kept = spark.read.parquet(f"{folder}/{stage}")
+        packed = corpus_pipeline.run(spark, folder).collect()
+        if name == "empty":
+            assert kept.count() == 0 and packed == []
+            continue
+        by = {}
+        for r in kept.collect():
+            by.setdefault(r.doc_id, []).append(r.text)
+        assert len(by[None]) == 2 and by.keys() == {None, 1, 4, 5, 7, 8, 9, 10, 11, 20, 21}  # 2 and 3 are empty like 1; 6 is a copy of 5
+        assert len(by[20][0]) > 100_000 and by[21] == ["Short line.\n"]
+        assert sum(r.length for r in packed if r.doc_id == 20) > 20_000
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf, name):
     import duckdb
