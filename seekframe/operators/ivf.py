@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dense import HITS, QUERY_BLOCK, Best, _scores, by_blocks, matrix, ranked, with_vectors
+from .workload import hashed_sample
 
 SAMPLE = 200_000
 MAX_CENTROIDS = 65_536
 
 
 def kmeans_centroids(corpus: DataFrame, k: int = 16, iterations: int = 25, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
-    """(partition_id, centroid), ids from 0, by cosine k-means on at most `sample` vectors, those with the smallest hash of their id."""
-    some = corpus.where("vector is not null").select("doc_id", "vector", F.xxhash64("doc_id", F.lit(seed)).alias("h")).orderBy("h", "doc_id").limit(sample)
+    """(partition_id, centroid), ids from 0, by cosine k-means on about `sample` vectors at most, those with the smallest hashes of their ids."""
+    some = hashed_sample(corpus.where("vector is not null").select("doc_id", "vector"), sample, seed=seed)
     model = KMeans(k=k, maxIter=iterations, seed=seed, distanceMeasure="cosine", featuresCol="v").fit(some.select(array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("v")))
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return corpus.sparkSession.createDataFrame(rows, "partition_id int, centroid array<double>")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import bit_words, sq8_decoded, sq8_encoded
 from .dense import HITS, QUERY_BLOCK, Best, by_blocks, flat_knn, matrix, ranked, with_vectors
+from .workload import hashed_sample
 
 TRAIN_SAMPLE = 100_000
 
@@ -62,8 +63,8 @@ class ProductCodes:
 
     @classmethod
     def train(cls, corpus: DataFrame, m: int = 8, bits: int = 8, rounds: int = 15, sample: int = TRAIN_SAMPLE, seed: int = 42) -> "ProductCodes":
-        """Lloyd's k-means for each part, on the `sample` vectors with the smallest hash of their id."""
-        rows = corpus.where("vector is not null").select("doc_id", "vector", F.xxhash64("doc_id", F.lit(seed)).alias("h")).orderBy("h", "doc_id").limit(sample).select("vector").toArrow()
+        """Lloyd's k-means for each part, on about `sample` vectors at most, those with the smallest hashes of their ids."""
+        rows = hashed_sample(corpus.where("vector is not null").select("doc_id", "vector"), sample, seed=seed).orderBy("doc_id").select("vector").toArrow()
         x = matrix(rows.column("vector").combine_chunks())
         if not len(x) or x.shape[1] % m:
             raise ValueError(f"the vectors' length must be a multiple of {m}")

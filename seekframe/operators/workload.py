@@ -51,6 +51,14 @@ def zipf(spark: SparkSession, n: int, pool: int, s: float, seed: int = 42) -> Da
     return spark.range(n).select("id", _hex_draw(F.lit(seed + 1), F.col("id")).alias("u")).mapInArrow(run, "seq long, qidx int")
 
 
+def hashed_sample(df: DataFrame, size: int, key: str = "doc_id", seed: int = 42) -> DataFrame:
+    """About `size` rows of df, those with the smallest hashes of their key; all rows if there are no more. No task sees more than its share."""
+    n = df.count()
+    if n <= size:
+        return df
+    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) < int(size / n * (1 << 40)))
+
+
 def contiguous(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     """df with 0, 1, 2, ... in the given order, numbered range by range: no task sees more than its range.
 
@@ -125,9 +133,13 @@ def error_rate(ok: Column) -> Column:
     return F.count_if(~ok) / F.greatest(F.count("*"), F.lit(1))
 
 
-def load_steps(samples: DataFrame, slo: float, max_errors: float = 0.01) -> DataFrame:
-    """(step, requests, qps, p99, error_rate, passes) of samples (step, ok, latency, seconds): seconds is how long the step was held."""
-    p99 = F.coalesce(F.percentile(F.when(F.col("ok"), F.col("latency")), F.lit(0.99)), F.lit(0.0))
+def load_steps(samples: DataFrame, slo: float, max_errors: float = 0.01, accuracy: int | None = None) -> DataFrame:
+    """(step, requests, qps, p99, error_rate, passes) of samples (step, ok, latency, seconds): seconds is how long the step was held.
+
+    accuracy: as in metrics.latency.
+    """
+    took = F.when(F.col("ok"), F.col("latency"))
+    p99 = F.coalesce(F.percentile(took, F.lit(0.99)) if accuracy is None else F.percentile_approx(took, 0.99, accuracy), F.lit(0.0))
     out = samples.groupBy("step").agg(F.count("*").alias("requests"), (F.count_if("ok") / F.max("seconds")).alias("qps"), p99.alias("p99"), error_rate(F.col("ok")).alias("error_rate"))
     return out.withColumn("passes", (F.col("p99") <= slo) & (F.col("error_rate") <= max_errors))
 
