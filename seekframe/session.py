@@ -45,7 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        if folder is None and not re.match(r"local(\[[^\]]*\])?$", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="seekframe-"))
     return sc._jsc.sc().getCheckpointDir().get()
