@@ -94,6 +94,7 @@ def by_blocks(queries: DataFrame, search: Callable[[pa.Table], DataFrame | None]
     if first.num_rows <= block:
         found = search(first) if first.num_rows else None
         return spark.createDataFrame([], HITS) if found is None else found
+    queries = stored(queries)
     blocks = -(-queries.count() // block)
     parts = []
     for no in range(blocks):

@@ -1,8 +1,8 @@
 """Lexical search: corpus statistics, postings, and BM25 over whole query batches.
 
 Texts are split and their terms counted text by text, in Arrow batches; every posting
-carries its text's length. An index is written as Parquet in the order of its terms, so a
-search reads the row groups of its own terms, and joins postings only with the weights of
+carries its text's length. An index is written as Parquet, dealt by term and each file in the
+order of its terms, so a search reads the row groups of its own terms, and joins postings only with the weights of
 the queries' terms; a term in many documents is split by Spark's skewed-join handling. The
 same constants hold throughout: k1 = 1.5, b = 0.75, epsilon = 0.25.
 """
@@ -73,13 +73,13 @@ class LexicalIndex:
     """Postings and statistics of a corpus; build() reads and splits the texts once, whatever is asked afterwards."""
 
     docs: DataFrame  # doc_id
-    posts: DataFrame  # term, doc_id, tf, dl; in the order of terms
+    posts: DataFrame  # term, doc_id, tf, dl; each file in the order of terms
     terms: DataFrame  # term, df
     stats: DataFrame  # n, avgdl
 
     @classmethod
     def build(cls, docs: DataFrame) -> "LexicalIndex":
-        posts = stored(postings(docs).repartitionByRange("term").sortWithinPartitions("term"))
+        posts = stored(postings(docs).repartition("term").sortWithinPartitions("term"))
         terms = stored(document_frequencies(posts))
         total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
         stats = docs.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avgdl"))
