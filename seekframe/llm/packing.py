@@ -36,7 +36,7 @@ from .common import narrow
 END_ID = 1
 BUCKET = 16_384
 #: Words kept by a worker, and the longest that is kept.
-CACHE_LIMIT, LONGEST = 1_400_000, 64
+CACHE_LIMIT, LONGEST = 500_000, 64
 _SIGNS = frozenset(".,;:!?)]}")
 #: Letters whose lower case may depend on more than themselves or be more than one character, or that normalisation may change.
 _BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
