@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from seekframe.llm import near_copies
 
@@ -66,3 +69,34 @@ def test_large_groups_lose_no_component(spark):
     missed = [i for i in range(len(sets)) if got[i] != root[i]]
 
     assert all(got[i] >= root[i] for i in missed) and len(missed) <= 12, len(missed)
+
+def all_pairs(texts):
+    """The smallest number that each text reaches by pairs of similarity 0.8."""
+    sets, root, changed = [brute(t) for t in texts], list(range(len(texts))), True
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    while changed:
+        changed = False
+        for i, j in near:
+            if root[i] != root[j]:
+                root[i] = root[j] = min(root[i], root[j])
+                changed = True
+    return root
+
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 60_000])
+def test_no_partner_of_a_large_group_is_passed_over(spark, block):
+    """700 edits of one text: each text's component against all pairs, in one block and in several."""
+    r, base = random.Random(4), prose(0, 300)
+    texts = [base] + [edited(base, i, r.randrange(3, 9)) for i in range(1, 700)]
+    texts = texts[1:] + texts[:1]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {x.doc_id: x.component_id for x in near_copies.components(df, block=block).collect()}
+    assert [got[i] for i in range(len(texts))] == all_pairs(texts)
+
+def test_texts_of_a_block_link_without_the_smallest_one():
+    """Of equal fingerprints the smallest node is like none of the others, which are alike."""
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 500, 505, 510, 900)] + [np.empty(0, np.uint64)]
+    a, b = near_copies.joined(np.arange(6), sets)
+    assert list(zip(a.tolist(), b.tolist())) == [(2, 1), (3, 1)]
+    many = [np.append(np.arange(100), [1000 + i, 2000 + i % 20]).astype(np.uint64) for i in range(40)]
+    common = near_copies._common(many)
+    assert all(common[i, j] == len(np.intersect1d(many[i], many[j])) for i in range(40) for j in range(i))
