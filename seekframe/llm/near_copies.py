@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_empty, narrow, shared
+from .common import is_empty, let_go, narrow, shared
 from .simhash import connected, links, majority, with_groups
 
 SHINGLE, LEAST, RADIUS = 5, 0.8, 4
@@ -79,6 +79,7 @@ def _profiles(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, node, fp, signature): node is the hash of the whole set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("near_copies")
         for b in batches:
             nodes, fps, signatures = [], [], []
             for t in b.column(1).cast(pa.binary()):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import keeps, let_go, narrow
 
 END_ID = 1
 BUCKET = 16_384
@@ -114,11 +114,15 @@ def word_tokens(tokenizer_file: str) -> WordTokens:
     return WordTokens(tokenizer_file)
 
 
+keeps("packing", word_tokens.cache_clear)
+
+
 def cut_pieces(df: DataFrame, tokenizer_file: str, max_tokens: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): the pieces of every text, at most max_tokens long."""
     end, width = np.array([END_ID], dtype="<u4").tobytes(), 4 * max_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("packing")
         tokens = word_tokens(tokenizer_file)
         for b in batches:
             rows, cols = [], ([], [], [], [])

@@ -31,7 +31,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import narrow
+from .common import keeps, narrow
 
 MARK = "▁"
 #: Chunks kept by a worker, and the longest that is kept.
@@ -175,6 +175,9 @@ def encoder(model_file: str) -> PieceEncoder:
     return PieceEncoder(model_file)
 
 
+keeps("piece_codec", encoder.cache_clear)
+
+
 def digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row."""
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared, text_or_empty
+from .common import let_go, shared, text_or_empty
 
 MIN_WORDS = 8
 #: A unit counts as a word for each so many characters at least.
@@ -98,6 +98,7 @@ def units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
+        let_go("substring_dedup")
         for b in batches:
             rows, hashes, numbers = [], [], []
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, shared
+from .common import let_go, narrow, shared
 
 BUCKETS, DIM, WINDOW = 1 << 16, 8, 4
 NGRAMS = (3, 4, 5)
@@ -47,6 +47,7 @@ ACTIVE, REFRESH = 4, 12
 CACHE_LIMIT = 300_000
 #: Runs of more characters than STRETCH (words glued together, scripts without spaces) score as their most toxic stretch.
 STRETCH = 64
+ROWS = 500
 _WORD = re.compile(r"\w+")
 
 
@@ -233,8 +234,11 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out: str = "score
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go("toxicity")
         words = model.word_scores()
         for texts in batches:
-            yield pa.array([score_text(t or "", model.bias, words) for t in texts.to_pylist()], pa.float64())
+            # Some texts at a time stand beside the batch.
+            parts = (texts.slice(at, ROWS).to_pylist() for at in range(0, len(texts), ROWS))
+            yield pa.array([score_text(t or "", model.bias, words) for part in parts for t in part], pa.float64())
 
     return df.withColumn(out, run(F.col(f"`{text_col}`").cast("string")))

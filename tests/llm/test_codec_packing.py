@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from seekframe.llm import packing, piece_codec
+from seekframe.llm import common, packing, piece_codec
 from seekframe.llm.queries import PIECE_MODEL, WORD_TOKENIZER
 
 MODEL, WORDS = public_tokenizers.path(PIECE_MODEL), public_tokenizers.path(WORD_TOKENIZER)
@@ -150,3 +150,12 @@ def test_conversations_keep_the_loss_limit(spark, sf):
     for s in seqs.values():
         assert sum(r.length for r in s) <= 1024 and sum(r.loss for r in s) <= 512 and len(s) <= 16
     assert len({(r.doc_id, r.start) for r in rows}) == len(rows)
+
+
+def test_workers_let_go_of_packings_words():
+    """A worker that goes on to another operator frees the words that packing keeps, but keeps them from one packing task to the next."""
+    packing.word_tokens(WORDS).encode("river stone")
+    common.let_go("packing")
+    assert packing.word_tokens.cache_info().currsize == 1 and len(packing.word_tokens(WORDS).known) == 3
+    common.let_go("toxicity")
+    assert packing.word_tokens.cache_info().currsize == 0
