@@ -43,6 +43,8 @@ BANDS, ROWS = 20, 4
 BLOCK, EACH = 500_000, 500
 #: Shingles of more texts of a block are counted by products of matrices, so many at a time.
 RARE, COLUMNS = 16, 1024
+#: So many links are connected in one task, which saves a shuffle for each step.
+FEW = 500_000
 SEED = 42
 _SIZE = BANDS * ROWS
 _CHUNK = 1 << 12
@@ -122,7 +124,7 @@ def _met(rows: DataFrame) -> DataFrame:
             keys, nodes = keys[starts[-1] : starts[-1] + 1], nodes[starts[-1] : starts[-1] + 1]
 
     buckets = rows.select("node", "signature").mapInArrow(dealt, "bucket long, node long")
-    return buckets.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long").distinct()
+    return buckets.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(run, "a long, b long")
 
 
 def _by_fingerprint(merged: DataFrame) -> DataFrame:
@@ -217,11 +219,34 @@ def _tried(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return shared(both.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long"))
 
 
+def _roots(edges: DataFrame, few: int = FEW) -> DataFrame:
+    """(node, root): as connected(); edges may repeat."""
+    edges = shared(edges)
+    if edges.count() > few:
+        return connected(edges.distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(batches, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        n = both.num_rows
+        nodes, at = np.unique(np.concatenate((both.column(0).to_numpy(), both.column(1).to_numpy())), return_inverse=True)
+        a, b = at[:n], at[n:]
+        old, root = None, np.arange(len(nodes))
+        while old is None or (root != old).any():
+            old, root = root, root.copy()
+            least = np.minimum(old[a], old[b])
+            for x in (a, b, old[a], old[b]):
+                np.minimum.at(root, x, least)
+            root = root[root]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def _merged(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows with the roots that edges of roots give them."""
     if is_empty(edges):
         return rows
-    new = connected(edges.distinct()).toDF("root", "to")
+    new = _roots(edges).toDF("root", "to")
     return shared(rows.join(new, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to"))
 
 
@@ -276,7 +301,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     df = df.where(F.col(f"`{id_col}`").isNotNull())
     rows = shared(_profiles(df, id_col, text_col))
     merged = shared(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("signature").alias("signature")))
-    groups = shared(connected(_met(merged).union(_by_fingerprint(merged)).distinct()).toDF("node", "grp"))
+    groups = shared(_roots(_met(merged).union(_by_fingerprint(merged))).toDF("node", "grp"))
     roots = _linked(groups, _sets(df, groups.select("node"), merged, id_col, text_col), block)
     linked = roots.join(merged.select("node", "least"), "node")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))

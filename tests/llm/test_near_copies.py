@@ -100,3 +100,11 @@ def test_texts_of_a_block_link_without_the_smallest_one():
     many = [np.append(np.arange(100), [1000 + i, 2000 + i % 20]).astype(np.uint64) for i in range(40)]
     common = near_copies._common(many)
     assert all(common[i, j] == len(np.intersect1d(many[i], many[j])) for i in range(40) for j in range(i))
+
+def test_links_connect_alike_in_one_task_and_in_many(spark):
+    r = random.Random(3)
+    edges = [(i + r.randrange(1, 40), i) for i in r.choices(range(-1000, 1000), k=900)] + [(i + 1, i) for i in range(5000, 5300)]
+    df = spark.createDataFrame(edges + edges[:50], "a long, b long").repartition(3)
+    one, many = ({x.node: x.root for x in near_copies._roots(df, few).collect()} for few in (10_000, 0))
+    assert one == many and one[5300] == 5000 and len(set(one.values())) > 50
+    assert near_copies._roots(df.where("false")).count() == 0
