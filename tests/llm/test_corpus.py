@@ -381,6 +381,17 @@ def test_blocks_are_passed_over(monkeypatch):
     assert best[0][0][0] == 4 and all(i % 2 == 0 for i in best[0][0]) and s.blocks_read <= s.blocks_seen // 2
 
 
+def test_each_round_of_a_search_knows_all_earlier_ones(spark):
+    """A few shards are read without knowledge, however they are dealt; scores of all rounds so far make the next one's threshold."""
+    for parts in (1, 16, 128):
+        sizes = topk_search.in_rounds(spark.range(0, 128, 1, parts)).groupBy("round").count().orderBy("round").collect()
+        assert [r.round for r in sizes] == [0, 1, 2, 3] and sum(r["count"] for r in sizes) == 128 and sizes[0]["count"] <= 4
+    hits = [spark.createDataFrame(x, "query_no int, doc_id long, score double") for x in ([(0, 1, 5.0), (0, 2, 3.0), (1, 1, 2.0)], [(0, 7, 4.0), (1, 8, 9.0)])]
+    assert topk_search.reached([], 3, 2).tolist() == [0, 0, 0]
+    assert topk_search.reached(hits[:1], 3, 2).tolist() == [3, 0, 0]
+    assert topk_search.reached(hits, 3, 2).tolist() == [4, 2, 0]
+
+
 def test_search_of_odd_and_empty_tables(table, odd_rows):
     df = table(odd_rows)
     assert topk_search.search(df, df.where("doc_id = 4")).first().doc_id == 4
