@@ -40,6 +40,8 @@ CACHE_LIMIT, LONGEST = 1_400_000, 64
 _SIGNS = frozenset(".,;:!?)]}")
 #: Letters whose lower case may depend on more than themselves or be more than one character, or that normalisation may change.
 _BEYOND = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: Ends the last token of a run of letters in the vocabulary.
+_END_OF_WORD = "</w>"
 #: Every special token begins so. Its string counts only as it is written: in capitals it is ordinary text.
 _SPECIAL = "<|"
 
@@ -64,6 +66,10 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.between = "<|startoftext|>"
         self.between_id = self.tokenizer.token_to_id(self.between)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether a run of letters ends with this id.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(_END_OF_WORD)]] = True
         self.known = _Known({"": b""})
 
     def _ids(self, text: str) -> np.ndarray:
@@ -78,11 +84,24 @@ class WordTokens:
             new.update([w[:-1] for w in signed])
             new.update([w[-1] for w in signed])
             new.difference_update([w for w in new if w in known])
-        plain = [w for w in new if self.between not in w]
-        for w in new.difference(plain):
+        # Of letters alone each word is one run, whose last token tells where it ends, so spaces keep them apart.
+        rest, letters = new, [w for w in new if w.isalpha()]
+        if _BEYOND.search("".join(letters)):
+            letters = [w for w in letters if not _BEYOND.search(w)]
+        if letters:
+            ids = self._ids(" ".join(letters))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(letters):
+                rest = new.difference(letters)
+                raw, at = ids.tobytes(), 0
+                for w, e in zip(letters, (4 * ends).tolist()):
+                    known[w] = raw[at:e]
+                    at = e
+        plain = [w for w in rest if self.between not in w]
+        for w in rest.difference(plain):
             known[w] = self._ids(w).tobytes()
         if plain:
-            # All new words go to the tokenizer in one text, kept apart by a token that none of them has.
+            # The other new words go to the tokenizer in one text, kept apart by a token that none of them has.
             ids = self._ids(self.between.join(plain))
             raw, at = ids.tobytes(), 0
             for w, e in zip(plain, [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)], strict=True):

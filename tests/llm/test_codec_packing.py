@@ -102,6 +102,19 @@ def check_pieces(rows, texts, max_tokens):
     return by_seq
 
 
+def test_words_of_letters_go_to_the_tokenizer_with_spaces(monkeypatch):
+    """No special token stands between them, which the tokenizer would cut at one by one; every letter of this path, in every place of a word."""
+    t, given = packing.WordTokens(WORDS), []
+    ids = t._ids
+    monkeypatch.setattr(t, "_ids", lambda text: given.append(text) or ids(text))
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha()]
+    words = [w for c in letters for w in (c, c + "ab", "a" + c + "b", "ab" + c, c + c, c + "'s", c + "1")] + ["river" * 20, "river" * 20 + ",", "stone"]
+    for text in (" ".join(words), " ".join(reversed(words)), "<|x " + " ".join(words).upper()):
+        assert np.frombuffer(t.encode(text), dtype="<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not any(t.between in x and "stone" in x for x in given) and any("stone" in x for x in given)
+    assert not [w for w in t.known if len(w) > packing.LONGEST]
+
+
 def test_packing_documents(table, odd_rows, spark, sf):
     rows = packing.pack_documents(table(odd_rows), WORDS, max_tokens=512).collect()
     texts = {i: t for i, t in odd_rows}
