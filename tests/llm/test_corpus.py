@@ -69,6 +69,17 @@ def test_toxic_word_late_in_a_long_run():
     assert toxicity.ngram_ids("a" * 70 + "b" * 9) != toxicity.ngram_ids("a" * 70 + "c" * 9)
 
 
+def test_training_on_few_texts_settles_whatever_the_start():
+    """Rounding, which differs from one processor to another, changes as much as another seed does."""
+    rows, labels = labelled(80)
+    clean = "_".join(["river", "stone", "meadow", "copper"] * 20)
+    for seed in range(8):
+        model = toxicity.fit([t for _, t in rows], [y for *_, y in labels], rounds=60, seed=seed)
+        words = model.word_scores()
+        assert np.mean([(toxicity.score_text(t, model.bias, words) >= 0.7) == y for (_, t), (*_, y) in zip(rows, labels)]) >= 0.95, seed
+        assert words[clean + "_hatefulness_" + clean] > words[clean + "_" + clean], seed
+
+
 # ---- substring dedup ----
 
 
