@@ -102,7 +102,7 @@ def by_blocks(queries: DataFrame, search: Callable[[pa.Table], DataFrame | None]
         found = search(table) if table.num_rows else None
         if found is not None:
             parts.append(stored(found))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], HITS)
 
 
 def with_vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import caches, dense, fusion, graph, ivf, metrics, quantize, rerank, sparse, workload
+from ..session import stored
 from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,7 +256,7 @@ def r5_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM raw) AS n_terms, (SELECT sum(df) FROM raw)::BIGINT AS n_postings FROM st")
 def a5_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    terms = sparse.postings(docs).groupBy("term").agg(F.count("*").alias("df")).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    terms = sparse.document_frequencies(sparse.counted(docs)).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
     return sparse.corpus_stats(docs).crossJoin(terms).select("n", F.round("avgdl", 6).alias("avgdl"), "n_terms", "n_postings")
 
 
@@ -505,7 +506,7 @@ def a19_sustainable(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_BOTH} SELECT qid, count(*) FILTER (in_d) AS n_dense, count(*) FILTER (in_s) AS n_sparse, count(*) AS n_union, count(*) FILTER (in_d AND in_s) AS n_both, count(*) FILTER (in_d AND NOT in_s) AS n_dense_only
 FROM (SELECT qid, doc_id, bool_or(l = 0) AS in_d, bool_or(l = 1) AS in_s FROM (SELECT 0 AS l, qid, doc_id FROM de UNION ALL SELECT 1, qid, doc_id FROM sp) GROUP BY 1, 2) GROUP BY 1""")
 def o1_set_operations(spark: SparkSession, d: str) -> DataFrame:
-    one, two = (x.select("qid", "doc_id") for x in _pair(spark, d))
+    one, two = (stored(x.select("qid", "doc_id")) for x in _pair(spark, d))
     parts = {"n_dense": one, "n_sparse": two, "n_union": one.union(two).distinct(), "n_both": one.intersect(two), "n_dense_only": one.exceptAll(two)}
     out = one.union(two).select("qid").distinct()
     for name, p in parts.items():
