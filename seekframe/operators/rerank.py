@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cut_for_rerank, tokens
+from ..session import stored
 
 
 def lexical_overlap(query: Column, passage: Column) -> Column:
@@ -23,9 +24,13 @@ def batch_scorer(score: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable
 
 
 def rerank(hits: DataFrame, queries: DataFrame, passages: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_overlap, depth: int = 50, k: int = 10, max_length: int = 256) -> DataFrame:
-    """The first `depth` hits scored anew, best k; ties keep their order. A missing passage counts as empty; depth below k shortens the result."""
-    some = hits.where(F.col("rank") <= depth).select("qid", "doc_id", F.col("rank").alias("was"))
-    some = some.join(queries.select("qid", F.col("text").alias("q")), "qid").join(passages.select("doc_id", F.col("text").alias("p")), "doc_id", "left")
-    scored = some.select("qid", "doc_id", "was", scorer(F.col("q"), cut_for_rerank(F.coalesce("p", F.lit("")), max_length)).alias("score"))
+    """The first `depth` hits scored anew, best k; ties keep their order. A missing passage counts as empty; depth below k shortens the result.
+
+    Hits are written first: by the size of their files the passages' ids are looked up by broadcast, and only cut passages that are hits are shuffled.
+    """
+    some = stored(hits.where(F.col("rank") <= depth).select("qid", "doc_id", F.col("rank").alias("was")))
+    found = passages.select("doc_id", cut_for_rerank("text", max_length).alias("p")).join(some.select("doc_id"), "doc_id", "left_semi")
+    some = some.join(queries.select("qid", F.col("text").alias("q")), "qid").join(stored(found), "doc_id", "left")
+    scored = some.select("qid", "doc_id", "was", scorer(F.col("q"), F.coalesce("p", F.lit(""))).alias("score"))
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "was")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "doc_id", "score", "rank", F.lit("reranked").alias("source"))

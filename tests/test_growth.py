@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from seekframe.operators import sparse
+from seekframe.operators import rerank, sparse
 from seekframe.plans import catalog
 
 
@@ -68,3 +68,13 @@ def test_bm25_of_many_blocks_equals_one(spark, monkeypatch):
 def test_hits_that_are_read_often_are_searched_once(spark, sf, name):
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "tf" not in plan
+
+
+def test_rerank_shuffles_only_passages_that_are_hits(spark):
+    hits = spark.createDataFrame([(q, 3 * q + i, 1.0, i + 1, "x") for q in range(20) for i in range(3)], "qid long, doc_id long, score double, rank int, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40k")
+    try:
+        one, eight = (shuffled(spark, lambda: rerank.rerank(hits, asked(spark), texts(spark, n)).collect()) for n in (1, 8))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert eight < 2 * max(one, 1)
