@@ -126,8 +126,9 @@ class Pipeline:
         return hits.where(F.col("rank") <= k)
 
     def _fused(self, first: DataFrame, second: DataFrame, k: int) -> DataFrame:
-        """Fusion where both lists have hits; else the list that has, with its own scores."""
+        """Fusion where both lists have hits; else the list that has, with its own scores. Both are written first, as each is read several times."""
         f = self.config.get("fusion", {})
+        first, second = stored(first), stored(second)
         both = first.select("qid").distinct().join(second.select("qid").distinct(), "qid")
         one, two = first.join(both, "qid", "left_semi"), second.join(both, "qid", "left_semi")
         if f.get("type") == "weighted":

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seekframe.operators import rerank, sparse
-from seekframe.plans import catalog
+from seekframe.plans import catalog, pipeline
 
 
 def shuffled(spark, run) -> int:
@@ -70,6 +70,13 @@ def test_hits_that_are_read_often_are_searched_once(spark, sf, name):
     assert "MapInArrow" not in plan and "tf" not in plan
 
 
+def test_hybrid_lists_are_searched_once(spark):
+    vectors = spark.range(20).select(F.col("id").alias("qid"), F.array(F.col("id") * 1.0, F.lit(1.0)).alias("vector"))
+    config = {"name": "h", "dense": {"index": "flat"}, "sparse": {"b": 0.75}, "fusion": {"type": "rrf"}}
+    found = pipeline.Pipeline(config, vectors.withColumnRenamed("qid", "doc_id"), texts(spark, 1)).search(asked(spark).join(vectors, "qid"))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 200
+
+
 def test_rerank_shuffles_only_passages_that_are_hits(spark):
     hits = spark.createDataFrame([(q, 3 * q + i, 1.0, i + 1, "x") for q in range(20) for i in range(3)], "qid long, doc_id long, score double, rank int, source string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40k")
