@@ -321,10 +321,10 @@ def r20_hybrid_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Lexical hits, and grades from labels for those that have any."""
-    hits = sparse.bm25(_docs(spark, d), _texts(spark, d), 100)
+    """Lexical hits, searched once and written, and grades from labels for those that have any."""
+    hits = stored(sparse.bm25(_docs(spark, d), _texts(spark, d), 100))
     grades = _table(spark, d, "labels").select("doc_id", F.greatest(F.col("quality") * 2 - F.col("toxic"), F.lit(0)).alias("grade"))
-    return hits, hits.join(grades, "doc_id").select("qid", "doc_id", "grade")
+    return hits, stored(hits.join(grades, "doc_id").select("qid", "doc_id", "grade"))
 
 
 @query(f"""WITH {_KNN}, {_top_sql(_DOT, 'dense', 10, 'truth')}, {_top_sql(_HAMMING, 'dense', 10, 'got')}
