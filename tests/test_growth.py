@@ -64,7 +64,7 @@ def test_bm25_of_many_blocks_equals_one(spark, monkeypatch):
     assert sparse.bm25(docs, queries.where("qid = 99").crossJoin(spark.range(7)).selectExpr("id as qid", "text"), 5).count() == 0
 
 
-@pytest.mark.parametrize("name", ["o1_set_operations", "a9_retrieval_metrics"])
+@pytest.mark.parametrize("name", ["o1_set_operations", "a9_retrieval_metrics", "a14_mean_over_workload"])
 def test_hits_that_are_read_often_are_searched_once(spark, sf, name):
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "tf" not in plan
