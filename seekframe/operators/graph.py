@@ -8,7 +8,9 @@ left. Hits of all shards are merged, so recall doesn't fall with their number, a
 be searched anywhere.
 
 An index is a table of shards (shard, ids, dim, vectors, links), written as Parquet with a row
-of settings beside it. Vectors of another length than the index's are left out.
+of settings beside it. Vectors of another length than the index's are left out. A Python worker
+holds one shard and `_CELLS` scores at a time, however many shards its task has: search() writes
+the hits of each block of queries, and shards that aren't in files yet should be stored() first.
 """
 
 from __future__ import annotations
@@ -20,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import one_row_batches, stored
 from .dense import HITS, QUERY_BLOCK, Best, _scores, by_blocks, matrix, ranked, with_vectors
 
 SHARD, M, EF, DRAWN, ENTRIES = 8192, 16, 64, 4, 8
+#: Scores that are computed at once.
+_CELLS = 2_000_000
 _COLUMNS = "ids array<bigint>, dim int, vectors binary, links binary"
 
 
@@ -31,10 +36,11 @@ def linked(vectors: np.ndarray, m: int, metric: str, seed: int = 42) -> np.ndarr
     n = len(vectors)
     m = min(m, n - 1)
     near = np.empty((n, m), dtype=np.int32)
-    for at in range(0, n, 1024):
-        s = _scores(vectors[at : at + 1024], vectors, metric)
+    step = max(1, _CELLS // n)
+    for at in range(0, n, step):
+        s = _scores(vectors[at : at + step], vectors, metric)
         s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
-        near[at : at + 1024] = np.argpartition(-s, m - 1, axis=1)[:, :m] if m else 0
+        near[at : at + step] = np.argpartition(-s, m - 1, axis=1)[:, :m] if m else 0
     rng = np.random.default_rng(seed)
     one = np.concatenate((np.repeat(np.arange(n), m), np.repeat(np.arange(n), DRAWN)))
     two = np.concatenate((near.ravel(), rng.integers(0, n, n * DRAWN)))
@@ -122,7 +128,8 @@ def search(shards: DataFrame, queries: DataFrame, k: int = 10, ef: int = EF, met
                     best.add_rows(s, docs[found])
             yield from best.hits()
 
-        return shards.where(F.col("dim") == asked.shape[1]).select("ids", "dim", "vectors", "links").mapInArrow(run, HITS)
+        with one_row_batches(shards.sparkSession):
+            return stored(shards.where(F.col("dim") == asked.shape[1]).select("ids", "dim", "vectors", "links").mapInArrow(run, HITS))
 
     return ranked(by_blocks(queries.where("vector is not null").select("qid", "vector"), nearest, block), k).withColumn("source", F.lit("dense"))
 

@@ -225,7 +225,7 @@ def r8_hamming_knn(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def r2_graph_knn(spark: SparkSession, d: str) -> DataFrame:
     """Approximate search on neighbour graphs; tested for recall."""
-    return _hits(graph.search(graph.build(_vectors(spark, d)), _asked(spark, d)))
+    return _hits(graph.search(stored(graph.build(_vectors(spark, d))), _asked(spark, d)))
 
 
 @query()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seekframe.operators import rerank, sparse
+from seekframe.operators import graph, rerank, sparse
 from seekframe.plans import catalog, pipeline
 
 
@@ -85,3 +86,21 @@ def test_rerank_shuffles_only_passages_that_are_hits(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert eight < 2 * max(one, 1)
+
+
+def test_graph_search_gets_one_shard_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 8)))], "doc_id long, vector array<double>")
+    name, rows, stored = "spark.sql.execution.arrow.maxRecordsPerBatch", [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: rows.append(spark.conf.get(name)) or stored(df))
+    was = spark.conf.get(name)
+    found = graph.search(graph.build(corpus, 4, shard=20), corpus.limit(5).withColumnRenamed("doc_id", "qid"), 3)
+    assert rows == ["1"] and spark.conf.get(name) == was
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 15
+
+
+def test_links_do_not_depend_on_how_many_are_scored_at_once(monkeypatch):
+    vectors = np.random.default_rng(7).normal(size=(90, 8))
+    want = graph.linked(vectors, 5, "ip")
+    monkeypatch.setattr(graph, "_CELLS", 700)
+    assert np.array_equal(np.sort(graph.linked(vectors, 5, "ip"), axis=1), np.sort(want, axis=1))
